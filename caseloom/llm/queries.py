@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, quality, sharding
+from . import fingerprint, mixing, quality, setjoin, sharding
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, pieces = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.mixed_counts(rows, pieces).select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +47,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_source_mixing": op4_source_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op10_document_fingerprints": op10_document_fingerprints,
