@@ -5,10 +5,11 @@ after it, and a failure arc to the empty history, where every word has an arc:
 
     arc(h, w)  = log10 (c(hw) + k P(w)) / (c(h) + k)        if c(hw) > 0
     fail(h)    = log10 k / (c(h) + k)
-    root(w)    = log10 P(w) = log10 (c(w) + 1) / (N + V + 1)
+    root(w)    = log10 P(w), P(w) = (c(w) - d) / N for known words, d V / N for the unknown one
 
-so that each state's probabilities sum to one. A text is read once from left to right; each word
-takes its arc, or the failure arc and then the root's.
+so that each state's probabilities sum to one. The discount d = n1 / (n1 + 2 n2) comes from the numbers
+of words seen once and twice. A text is read once from left to right; each word takes its arc, or
+the failure arc and then the root's.
 
 The automaton grows with the corpus and is never sent anywhere whole. Documents are dealt into
 blocks. A block counts its words and word pairs and sends each distinct one to the owner of its hash
@@ -28,7 +29,7 @@ from .common import parallelism
 from .hashing import A, B, WordHasher, mix64
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-STRENGTH = 4.0
+STRENGTH = 64.0
 
 
 def held_out(doc_id, every: int = 7, remainder: int = 2):
@@ -63,7 +64,7 @@ def _edges(parts: int) -> np.ndarray:
 
 
 ASKED = pa.schema([("owner", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())])
-ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int8()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("texts", pa.int64())])
+ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int8()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("texts", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
 
 
 def _ask(labels: list[int]):
@@ -100,21 +101,23 @@ def _answer(batches):
         keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
         total_k, total_c = _distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in rows])) if sum(map(len, keys)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         tokens, types = (int(total_c.sum()), int((total_c > 0).sum())) if kind == 0 else (0, 0)
+        once, twice = (int((total_c == x).sum()) if kind == 0 else 0 for x in (1, 2))
         texts = sum(r["texts"] for r in rows)
         for r, k in zip(rows, keys, strict=True):
             got = total_c[np.searchsorted(total_k, k)].astype("<u8").tobytes()
-            yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": part, "kind": kind, "counts": got, "tokens": tokens, "types": types, "texts": texts}], schema=ANSWER)
+            yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": part, "kind": kind, "counts": got, "tokens": tokens, "types": types, "texts": texts, "once": once, "twice": twice}], schema=ANSWER)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def traverse(strength: float, c_word, c_history, c_pair, tokens: int, types: int):
-    """Weight of each step and of each word's root arc, from corpus counts."""
-    root = np.log10((c_word + 1.0) / (tokens + types + 1.0))
+def traverse(strength: float, c_word, c_history, c_pair, tokens: int, types: int, once: int, twice: int):
+    """Weight of each step, from corpus counts."""
+    d = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
+    root = np.log10(np.where(c_word > 0, c_word - d, d * types) / tokens) if tokens else np.zeros(len(c_word))
     fail = np.log10(strength / (c_history + strength))
     arc = np.log10((c_pair + strength * 10.0**root) / (c_history + strength))
-    return np.where(c_pair > 0, arc, fail + root), root
+    return np.where(c_pair > 0, arc, fail + root)
 
 
 def _score(strength: float):
@@ -122,10 +125,10 @@ def _score(strength: float):
         texts = docs.column("text").to_pylist()
         tok, lengths = _tokens(texts, WordHasher())
         prev, pair = _pairs(tok, lengths)
-        rows = answers.select(["part", "kind", "counts", "tokens", "types", "texts"]).to_pylist()
+        rows = answers.drop_columns(["block"]).to_pylist()
         counts = {kind: np.concatenate([np.frombuffer(r["counts"], "<u8") for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]).astype(np.int64) for kind in (0, 1)}
         words = np.unique(tok)
-        tokens, types, starts = (sum(r[x] for r in rows if r["kind"] == 0) for x in ("tokens", "types", "texts"))
+        tokens, types, starts, once, twice = (sum(r[x] for r in rows if r["kind"] == 0) for x in ("tokens", "types", "texts", "once", "twice"))
         c_word = counts[0][np.searchsorted(words, tok)]
         begins = np.cumsum(lengths) - lengths
         c_history = np.empty_like(c_word)
@@ -133,7 +136,8 @@ def _score(strength: float):
         c_history[begins] = starts
         pairs = np.unique(pair)
         c_pair = counts[1][np.searchsorted(pairs, pair)]
-        step, root = traverse(strength, c_word, c_history, c_pair, tokens, types)
+        step = traverse(strength, c_word, c_history, c_pair, tokens, types, once, twice)
+        base = np.log10((c_word + 1.0) / (tokens + types + 1.0))
         add = np.add.reduceat
         return pa.table(
             [
@@ -142,7 +146,7 @@ def _score(strength: float):
                 pa.array(lengths),
                 pa.array(add((c_word > 0).astype(np.int64), begins)),
                 pa.array(np.full(len(lengths), tokens, np.int64)),
-                pa.array(add(root, begins)),
+                pa.array(add(base, begins)),
                 pa.array(add(step, begins)),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -178,5 +182,5 @@ def score_texts(docs: DataFrame, strength: float = STRENGTH, id_col: str = "doc_
     block = F.element_at(F.array(*[F.lit(x) for x in labels]), (key + 1).cast("int")).cast("long")
     blocks = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), (~held).alias("train"), F.col(text_col).alias("text")).repartition(n, "block")
     asked = blocks.mapInArrow(_ask(labels), "owner long, part int, block long, kind byte, keys binary, counts binary, texts long").repartition(n, "owner")
-    answers = asked.mapInArrow(_answer, "block long, part int, kind byte, counts binary, tokens long, types long, texts long")
+    answers = asked.mapInArrow(_answer, "block long, part int, kind byte, counts binary, tokens long, types long, texts long, once long, twice long")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(strength), SCORED)
