@@ -3,8 +3,9 @@
 Documents with equal shingle sets are one node. Nodes fall into groups by a pair of minimal
 shingles, so highly similar sets mostly share a group. An index of prefix shingles lists nodes by
 (size, position); a list is swept in that order, stops at the size bound and skips what its
-positions rule out. Pairs inside one group are never listed: a node only learns which other groups
-it has to visit. Where a group meets its visitors, sets are held as differences from a pivot set,
+positions rule out. Prefixes are longer than needed for one common shingle, so that a pair must meet
+in ``MEET`` lists, which chance passages don't. Pairs inside one group are never listed: a node only
+learns which other groups it has to visit. Where a group meets its visitors, sets are held as differences from a pivot set,
 and one set's answers follow from the pivot's: overlap(x, z) = |p| - |p minus x| - |p minus z| +
 shared differences, and sets whose distances to the pivot differ by more than the threshold are
 skipped. Links come back as a spanning forest, never as all pairs.
@@ -22,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, staged
 from .components import connected_components
-from .hashing import WordHasher, mix64, shingle_set
+from .hashing import A, B, WordHasher, mix64, shingle_set
 
 #: Shingles kept as frequent ones: a fixed bound on what is sent to every task.
 HOT = 65_536
 #: Groups that get split into parts: likewise.
 SPLIT = 65_536
+#: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
+MEET = 12
 
 
 def least_overlap(a, b, percent: int):
@@ -108,7 +111,8 @@ def _postings(n: int, percent: int, hot: np.ndarray, split: dict[int, int]):
                     is_hot = ranked[at] == s
                     if is_hot.any():
                         s = np.concatenate([s[~is_hot], hot[np.sort(order[at[is_hot]])]])
-                k = len(s) - -(-percent * len(s) // 100) + 1
+                least = -(-percent * len(s) // 100)
+                k = len(s) - least + min(MEET, least)
                 parts.append((s[:k], node, _part(grp, node, split), len(s), np.arange(k, dtype=np.int32)))
             if parts:
                 ks = [len(p[0]) for p in parts]
@@ -132,7 +136,7 @@ def _part(grp: int, node: int, split: dict[int, int]) -> int:
 
 def _visits(percent: int):
     """Sweep the lists of one partition; yield which group each node has to visit."""
-    schema = pa.schema([("node", pa.int64()), ("host", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("host", pa.int64()), ("size", pa.int64()), ("met", pa.int64())])
 
     def run(batches):
         cols = [[], [], [], [], []]
@@ -153,12 +157,20 @@ def _visits(percent: int):
         n_of = np.diff(np.r_[np.flatnonzero(new), len(g)])
         weight = np.empty(len(g), np.int64)
         weight[g] = np.repeat(n_of, n_of)
-        found, held = [], 0
+        found = []
 
         def flush():
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-
+            """Lists in which each node met each host."""
+            at, who, host = (np.concatenate(x) for x in zip(*found, strict=True))
+            both = mix64(node[who].view(np.uint64) * A + host.view(np.uint64) * B)
+            o = np.lexsort((at, both))
+            at, who, host, both = at[o], who[o], host[o], both[o]
+            first = np.r_[True, both[1:] != both[:-1]]
+            once = first | np.r_[True, at[1:] != at[:-1]]
+            met = np.add.reduceat(once.astype(np.int64), np.flatnonzero(first))
+            return pa.RecordBatch.from_arrays([pa.array(node[who[first]]), pa.array(host[first]), pa.array(size[who[first]]), pa.array(met)], schema=schema)
+
+        run_of = np.cumsum(np.r_[True, tok[1:] != tok[:-1]])
         i, step = np.arange(len(tok) - 1), 1
         while len(i):
             j = i + step
@@ -166,16 +178,12 @@ def _visits(percent: int):
             i, j = i[live], j[live]
             live = size[i] * 100 >= percent * size[j]  # sizes rise along a list
             i, j = i[live], j[live]
-            most = 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1
+            most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])  # before, here and after
             hit = (grp[i] != grp[j]) & (most >= least_overlap(size[i], size[j], percent))
             a, b = i[hit], j[hit]
             if len(a):
                 to_b = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (grp[b] < grp[a]))
-                found.append(np.stack([np.where(to_b, node[a], node[b]), np.where(to_b, grp[b], grp[a])], 1))
-                held += len(a)
-                if held > 2_000_000:
-                    yield flush()
-                    found, held = [], 0
+                found.append((run_of[a], np.where(to_b, a, b), np.where(to_b, grp[b], grp[a])))
             step += 1
         if found:
             yield flush()
@@ -346,13 +354,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, group_cap
     nodes = staged(nodes.join(parts, "grp", "left").select("node", "doc_id", part.alias("grp")))
 
     lists = src.select("text").mapInArrow(_postings(n, percent, hot, split), "tok long, node long, grp long, size int, pos int")
-    visits = lists.repartition(tasks, "tok").mapInArrow(_visits(percent), "node long, host long").distinct()
-    visits = staged(visits)
+    met = lists.repartition(tasks, "tok").mapInArrow(_visits(percent), "node long, host long, size long, met long")
+    met = met.groupBy("node", "host").agg(F.max("size").alias("size"), F.sum("met").alias("met"))
+    # a partner may be smaller, and either of the two may have been host: half of the lists at least
+    enough = F.least(F.lit(MEET), F.ceil(F.col("size") * (percent * percent) / F.lit(10_000)))
+    visits = staged(met.where(F.col("met") * 2 >= enough).select("node", "host"))
     hosts = visits.select(F.col("host").alias("grp")).unionByName(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")).distinct()
     own = nodes.join(hosts, "grp").select("doc_id", "node", F.col("grp").alias("host"), F.lit(0).alias("role"))
     guests = visits.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "host", F.lit(1).alias("role"))
     wanted = own.unionByName(guests).alias("w")
-    texts = wanted.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.role", "w.node", "s.text")
+    # what is wanted grows with the corpus, so this join is never a broadcast
+    texts = wanted.hint("merge").join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.role", "w.node", "s.text")
     links = texts.repartition(tasks, "host").sortWithinPartitions("host", "role").mapInArrow(_meet(n, percent), "a long, b long")
     roots = connected_components(links)
 
