@@ -112,4 +112,6 @@ def quality_rules(
         .withColumn("__all", F.expr("aggregate(__lines, 0L, (a, x) -> a + length(x))"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("__left") >= F.lit(min_kept_share) * F.col("__all")))
     )
-    return df.drop("__w", "__lines", "__n", "__b", "__s", "__f", "__g", "__p", "__spoken", "__keep", "__left", "__all")
+    # a generator keeps later filters on the results from being pushed down into these expressions
+    results = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in drop], F.inline(F.array(results)))
