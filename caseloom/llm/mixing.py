@@ -81,6 +81,11 @@ def schedule(spark, goals: DataFrame, total: int, block_words: int) -> DataFrame
     return ranked.unionByName(more)
 
 
+def _place(key: Column, text: Column, seed: int) -> Column:
+    """Where a row stands in its source's shuffled stream."""
+    return F.xxhash64(F.lit(seed), key, text).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def mix(
     docs: DataFrame,
     block_words: int = 2048,
@@ -102,7 +107,7 @@ def mix(
     """
     spark = docs.sparkSession
     text, key = F.col(text_col), F.col(id_col)
-    h = F.xxhash64(F.lit(seed), key, text).bitwiseAND(F.lit((1 << 63) - 1))
+    h = _place(key, text, seed)
     sized = staged(docs.select(key.alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), h.alias("h")))
     sized = sized.withColumn("part", F.shiftright("h", 53).cast("int"))
     goals = staged(targets(sized, weights, times))
@@ -115,7 +120,7 @@ def mix(
     joined = sized.alias("d").join(parts.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part")))
     inside = Window.partitionBy("p.sid", "d.part").orderBy("d.h", "d.doc_id", "d.size")
     rows = joined.select(
-        "d.doc_id", "d.source", "d.size", "p.source_size", "p.target", "p.sid",
+        "d.doc_id", "d.h", "d.source", "d.size", "p.source_size", "p.target", "p.sid",
         F.concat_ws("-", "p.sid", "d.part", F.row_number().over(inside)).alias("uid"),
         (F.col("p.start") + F.coalesce(F.sum("d.size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("at"),
     )
@@ -135,3 +140,23 @@ def mixed_counts(rows: DataFrame, pieces: DataFrame) -> DataFrame:
         pieces.select("uid", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("source_size"), F.lit(None).cast("double").alias("target"), F.col("words").cast("long").alias("taken"))
     )
     return both.groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, rows: DataFrame, pieces: DataFrame, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix as rows of ``docs``: one for each reading of a row, with the text that is taken from it.
+
+    A reading that the target cuts short (one a source at most) has the words taken, single-spaced.
+    Rows equal in id and text are told apart by number, so each meets its own readings once.
+    """
+    cols, same = docs.columns, ["__id", "__h"]
+    reads = pieces.groupBy("uid", "pass").agg(F.min("start").alias("__start"), F.sum("words").alias("__words"))
+    number = Window.partitionBy(*same)
+    own = rows.select("uid", F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("size").alias("__size"))
+    own = own.withColumn("__no", F.row_number().over(number.orderBy("uid"))).join(reads, "uid")
+    full = docs.withColumn("__id", F.col(id_col)).withColumn("__h", _place(F.col(id_col), F.col(text_col), seed))
+    full = full.withColumn("__no", F.row_number().over(number.orderBy("__h"))).alias("d")
+    own = own.alias("o")
+    both = full.join(own, F.col("d.__h").eqNullSafe(F.col("o.__h")) & F.col("d.__id").eqNullSafe(F.col("o.__id")) & (F.col("d.__no") == F.col("o.__no")))
+    some = F.array_join(F.slice(F.regexp_extract_all(F.col(f"d.{text_col}"), F.lit(WORD), F.lit(0)), (F.col("__start") + 1).cast("int"), F.col("__words").cast("int")), " ")
+    text = F.when(F.col("__words") == F.col("__size"), F.col(f"d.{text_col}")).otherwise(some)
+    return both.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in cols])
