@@ -2,13 +2,15 @@
 
 Documents with equal shingle sets are one node. Nodes fall into groups by a pair of minimal
 shingles, so highly similar sets mostly share a group. An index of prefix shingles lists nodes by
-(size, position); a list is swept in that order, stops at the size bound and skips what its
-positions rule out. Prefixes are longer than needed for one common shingle, so that a pair must meet
-in ``MEET`` lists, which chance passages don't. Pairs inside one group are never listed: a node only
-learns which other groups it has to visit. Where a group meets its visitors, sets are held as differences from a pivot set,
+(size, position). A short list is swept in that order, stops at the size bound and skips what its
+positions rule out; prefixes are longer than one common shingle needs, so that a pair must meet in
+``MEET`` lists, which chance passages don't. In a long list no pair is looked at: its members visit
+its largest group. Either way a node only learns which groups to visit, and pairs inside one group
+are never listed. Where a group meets its visitors, sets are held as differences from a pivot set,
 and one set's answers follow from the pivot's: overlap(x, z) = |p| - |p minus x| - |p minus z| +
 shared differences, and sets whose distances to the pivot differ by more than the threshold are
-skipped. Links come back as a spanning forest, never as all pairs.
+skipped. A large meeting is dealt into parts, and each pair of parts is a task of its own. Links come
+back as a spanning forest, never as all pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .hashing import A, B, WordHasher, mix64, shingle_set
 
 #: Shingles kept as frequent ones: a fixed bound on what is sent to every task.
 HOT = 65_536
-#: Groups that get split into parts: likewise.
-SPLIT = 65_536
+#: Members from which a list is long.
+LONG = 16
+#: Sets of one part of a meeting; a task holds two parts.
+PART = 512
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
 MEET = 12
 
@@ -90,7 +94,7 @@ def _profile(n: int, least_count: int):
     return run
 
 
-def _postings(n: int, percent: int, hot: np.ndarray, split: dict[int, int]):
+def _postings(n: int, percent: int, hot: np.ndarray):
     """Prefix shingles of each node: shingle, node, group, size, position. ``hot`` is in rising frequency."""
     order = np.argsort(hot)
     ranked = hot[order]
@@ -113,7 +117,7 @@ def _postings(n: int, percent: int, hot: np.ndarray, split: dict[int, int]):
                         s = np.concatenate([s[~is_hot], hot[np.sort(order[at[is_hot]])]])
                 least = -(-percent * len(s) // 100)
                 k = len(s) - least + min(MEET, least)
-                parts.append((s[:k], node, _part(grp, node, split), len(s), np.arange(k, dtype=np.int32)))
+                parts.append((s[:k], node, grp, len(s), np.arange(k, dtype=np.int32)))
             if parts:
                 ks = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
@@ -129,11 +133,6 @@ def _postings(n: int, percent: int, hot: np.ndarray, split: dict[int, int]):
     return run
 
 
-def _part(grp: int, node: int, split: dict[int, int]) -> int:
-    """A large group is dealt into parts by node."""
-    return grp ^ ((node & 0x7FFFFFFF) % split.get(grp, 1))
-
-
 def _visits(percent: int):
     """Sweep the lists of one partition; yield which group each node has to visit."""
     schema = pa.schema([("node", pa.int64()), ("host", pa.int64()), ("size", pa.int64()), ("met", pa.int64())])
@@ -157,36 +156,44 @@ def _visits(percent: int):
         n_of = np.diff(np.r_[np.flatnonzero(new), len(g)])
         weight = np.empty(len(g), np.int64)
         weight[g] = np.repeat(n_of, n_of)
-        found = []
-
-        def flush():
-            """Lists in which each node met each host."""
-            at, who, host = (np.concatenate(x) for x in zip(*found, strict=True))
-            both = mix64(node[who].view(np.uint64) * A + host.view(np.uint64) * B)
-            o = np.lexsort((at, both))
-            at, who, host, both = at[o], who[o], host[o], both[o]
-            first = np.r_[True, both[1:] != both[:-1]]
-            once = first | np.r_[True, at[1:] != at[:-1]]
-            met = np.add.reduceat(once.astype(np.int64), np.flatnonzero(first))
-            return pa.RecordBatch.from_arrays([pa.array(node[who[first]]), pa.array(host[first]), pa.array(size[who[first]]), pa.array(met)], schema=schema)
-
-        run_of = np.cumsum(np.r_[True, tok[1:] != tok[:-1]])
-        i, step = np.arange(len(tok) - 1), 1
+        first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        n_in = np.diff(np.r_[first, len(tok)])
+        list_of = np.repeat(np.arange(len(first)), n_in)
+        long = (n_in >= LONG)[list_of]
+
+        # long lists: whoever has a neighbour of a similar size visits the largest group
+        near = (list_of[1:] == list_of[:-1]) & (size[:-1] * 100 >= percent * size[1:]) & long[1:]
+        go = np.r_[near, False] | np.r_[False, near]
+        rank = np.lexsort((grp, -weight, list_of))
+        largest = grp[rank[first]][list_of]
+        who = np.flatnonzero(go & (grp != largest))
+        found = [(list_of[who], who, largest[who], np.full(len(who), MEET))]
+
+        # short lists: pairs that size and position allow
+        i, step = np.flatnonzero(~long), 1
         while len(i):
             j = i + step
-            live = (j < len(tok)) & (tok[np.minimum(j, len(tok) - 1)] == tok[i])
+            live = (j < len(tok)) & (list_of[np.minimum(j, len(tok) - 1)] == list_of[i])
             i, j = i[live], j[live]
             live = size[i] * 100 >= percent * size[j]  # sizes rise along a list
             i, j = i[live], j[live]
             most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])  # before, here and after
             hit = (grp[i] != grp[j]) & (most >= least_overlap(size[i], size[j], percent))
             a, b = i[hit], j[hit]
-            if len(a):
-                to_b = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (grp[b] < grp[a]))
-                found.append((run_of[a], np.where(to_b, a, b), np.where(to_b, grp[b], grp[a])))
+            to_b = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (grp[b] < grp[a]))
+            found.append((list_of[a], np.where(to_b, a, b), np.where(to_b, grp[b], grp[a]), np.ones(len(a), np.int64)))
             step += 1
-        if found:
-            yield flush()
+
+        at, who, host, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(at):
+            return
+        both = mix64(node[who].view(np.uint64) * A + host.view(np.uint64) * B)
+        o = np.lexsort((at, both))
+        at, who, host, both, count = at[o], who[o], host[o], both[o], count[o]
+        begins = np.r_[True, both[1:] != both[:-1]]
+        once = begins | np.r_[True, at[1:] != at[:-1]]  # a list counts once for a node and a host
+        met = np.add.reduceat(np.where(once, count, 0), np.flatnonzero(begins))
+        yield pa.RecordBatch.from_arrays([pa.array(node[who[begins]]), pa.array(host[begins]), pa.array(size[who[begins]]), pa.array(met)], schema=schema)
 
     return run
 
@@ -244,7 +251,7 @@ def _distance(overlap, a, b):
 
 
 def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among the first ``n_own`` sets, and between them and the rest."""
+    """Spanning forest of the links among all sets, or between the first ``n_own`` and the rest if there is a rest."""
     forest, reach = _Forest(), 1 - percent / 100 + 1e-9
 
     def check(x: int, z: int) -> None:
@@ -253,9 +260,10 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
             if linked(len(np.intersect1d(sets[x], sets[z], assume_unique=True)), a, b, percent):
                 forest.join(x, z)
 
+    among = n_own == len(sets)
     if n_own * (len(sets) - 1) <= 48:
         for x in range(n_own):
-            for z in range(x + 1, len(sets)):
+            for z in range(x + 1 if among else n_own, len(sets)):
                 check(x, z)
         return [(nodes[a], nodes[b]) for a, b in forest.edges]
 
@@ -269,14 +277,14 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
         own = np.array(left)
         c = _Cluster(pivot, own[near].tolist(), sets)
         near_dist = dist[near]
-        for k, x in enumerate(c.members.tolist()):
+        for k, x in enumerate(c.members.tolist() if among else ()):
             ov = c.overlaps(c.deltas[k], int(c.lost[k]))
             ok = linked(ov, c.size[k], c.size, percent)
             for z in c.members[:k][ok[:k]].tolist():
                 forest.join(x, z)
         # a set outside may still link to a member if both are about as far from the pivot
-        for z in own[far & (dist <= 0.5 + reach)].tolist():
-            d = dist[left.index(z)]
+        edge = np.flatnonzero(far & (dist <= 0.5 + reach)) if among else ()
+        for z, d in ((left[k], dist[k]) for k in edge):
             for x in c.members[near_dist >= d - reach].tolist():
                 check(x, z)
         for v in visitors:
@@ -293,21 +301,26 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
 
 
 def _meet(n: int, percent: int):
-    """Rows (host, role, node, text) in order of host and role: yield the links of each host group."""
+    """Rows (host, i, j, role, node, text) sorted by all but the last two: yield the links of each meeting."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        hasher, host, nodes, sets, n_own, known, out = WordHasher(), None, [], [], 0, set(), []
+        hasher, meeting, nodes, sets, n_own, known, out = WordHasher(), None, [], [], 0, set(), []
 
         def close():
             if n_own and len(sets) > 1:
                 out.extend(join_sets(nodes, sets, n_own, percent))
 
+        def batch_of_links():
+            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=schema)
+            out.clear()
+            return batch
+
         for batch in batches:
-            for h, role, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if h != host:
+            for h, i, j, role, node, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (h, i, j) != meeting:
                     close()
-                    host, nodes, sets, n_own, known = h, [], [], 0, set()
+                    meeting, nodes, sets, n_own, known = (h, i, j), [], [], 0, set()
                 s = shingle_set(hasher(text), n)
                 if node in known or not len(s) or _node(s) != node:  # ids may repeat with other texts
                     continue
@@ -315,21 +328,16 @@ def _meet(n: int, percent: int):
                 nodes.append(node)
                 sets.append(s)
                 n_own += role == 0
-                if len(sets) - n_own >= 4096:  # visitors pass in blocks
-                    close()
-                    known -= set(nodes[n_own:])
-                    del nodes[n_own:], sets[n_own:]
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], schema=schema)
-                out.clear()
+                yield batch_of_links()
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], schema=schema)
+            yield batch_of_links()
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, group_cap: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, node, component_id`` for every row of ``docs``.
 
     A-Z is lower-cased; a set is the distinct ``n``-word shingles, the whole sequence for shorter texts.
@@ -347,25 +355,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, group_cap
     hot = np.array([r.node for r in top.collect()][::-1], np.int64).view(np.uint64)
 
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"))
-    big = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_cap).orderBy(F.desc("c"), "grp").limit(SPLIT)
-    split = {r.grp: -(-r.c // group_cap) for r in big.collect()}
-    parts = big.select("grp", F.ceil(F.col("c") / group_cap).alias("parts"))
-    part = F.col("grp").bitwiseXOR(F.pmod(F.col("node").bitwiseAND(0x7FFFFFFF), F.coalesce("parts", F.lit(1))))
-    nodes = staged(nodes.join(parts, "grp", "left").select("node", "doc_id", part.alias("grp")))
+    nodes = staged(nodes)
 
-    lists = src.select("text").mapInArrow(_postings(n, percent, hot, split), "tok long, node long, grp long, size int, pos int")
+    lists = src.select("text").mapInArrow(_postings(n, percent, hot), "tok long, node long, grp long, size int, pos int")
     met = lists.repartition(tasks, "tok").mapInArrow(_visits(percent), "node long, host long, size long, met long")
     met = met.groupBy("node", "host").agg(F.max("size").alias("size"), F.sum("met").alias("met"))
     # a partner may be smaller, and either of the two may have been host: half of the lists at least
     enough = F.least(F.lit(MEET), F.ceil(F.col("size") * (percent * percent) / F.lit(10_000)))
     visits = staged(met.where(F.col("met") * 2 >= enough).select("node", "host"))
     hosts = visits.select(F.col("host").alias("grp")).unionByName(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")).distinct()
-    own = nodes.join(hosts, "grp").select("doc_id", "node", F.col("grp").alias("host"), F.lit(0).alias("role"))
-    guests = visits.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "host", F.lit(1).alias("role"))
-    wanted = own.unionByName(guests).alias("w")
+    own = nodes.join(hosts, "grp").select("doc_id", "node", F.col("grp").alias("host"))
+    guests = visits.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "host")
+    there = staged(own.unionByName(guests))
+    # a meeting of k parts becomes k (k + 1) / 2 tasks
+    parts = there.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("k"))
+    dealt = there.join(parts, "host").withColumn("p", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("doc_id", "node", "host", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("role"))
     # what is wanted grows with the corpus, so this join is never a broadcast
-    texts = wanted.hint("merge").join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.role", "w.node", "s.text")
-    links = texts.repartition(tasks, "host").sortWithinPartitions("host", "role").mapInArrow(_meet(n, percent), "a long, b long")
+    w = dealt.alias("w").hint("merge")
+    texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "s.text")
+    links = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role").mapInArrow(_meet(n, percent), "a long, b long")
     roots = connected_components(links)
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
