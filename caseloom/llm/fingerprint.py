@@ -98,7 +98,7 @@ def compare_with_next(docs: DataFrame, k: int = 5, l: int = 2, m: int = 64, id_c
     follow = follow.select("__top", F.col("__r").alias("__own"), F.coalesce("__before", "__end").alias("__r"))
     heads = (
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(follow, F.col("doc_id").eqNullSafe(F.col("__top")))
+        .join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("__top")))  # one row a range, so as many as partitions at most
         .groupBy("__r").agg(F.min("text").alias("text"))
     )
     heads = with_signature(heads, "text", "sig", k, l, m).select("__r", F.struct("text", "sig").alias("__head"))
