@@ -42,11 +42,15 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
     marks = [((1 << 63) // m) * j for j in range(m)]
     df = df.withColumn("__c", F.expr("array(" + ", ".join(f"{x}L" for x in marks) + ")"))
     df = df.withColumn("__c", F.expr("transform(__c, x -> shiftleft(shiftright(x, __b), __b))"))
-    df = df.withColumn("__z", F.expr("sort_array(concat(__e, __c))"))
-    df = df.withColumn("__t", F.expr("transform(__c, (x, j) -> cast(array_position(__z, x) as int) - 1 - j)"))
+    # how many hashes lie before a mark, by halving steps
+    df = df.withColumn(
+        "__t",
+        F.expr("""transform(__c, c -> aggregate(sequence(__b, 0, -1), 0,
+            (r, p) -> if(r + shiftleft(1, p) <= __k and __e[least(r + shiftleft(1, p), __k) - 1] < c, r + shiftleft(1, p), r)))"""),
+    )
     slot = f"""xxhash64(transform(sort_array(transform(sequence(0, least({l}, __k) - 1), t -> __e[(s + t) % __k] & __m)), p -> __g[cast(p as int) - 1]))"""
     df = df.withColumn(out, F.expr(f"if(__k = 0, array_repeat(0, {m}), transform(__t, s -> cast({slot} & 2147483647L as int)))"))
-    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__e", "__c", "__z", "__t")
+    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__e", "__c", "__t")
 
 
 def likeness(a: Column, b: Column, m: int = 64) -> Column:
