@@ -20,50 +20,39 @@ END_OF_TEXT = 1
 PLAIN = r"[^\t\n\r\x20-\x7e -ɏ‐-‧‰-⁞]"
 
 
-class CachedTokenizer:
-    """Ids of byte-level BPE. Its pre-tokens are encoded on their own, so known ones come from a bounded cache."""
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+
+class FastTokenizer:
+    """Ids of a byte-level BPE file of the tokenizers library.
+
+    In such a file a token's id is its merge rank, so the faster library gives the same ids for the same
+    pattern. Texts with special tokens, or with characters that the two may class differently, go to the
+    library that the file belongs to.
+    """
+
+    def __init__(self, path: str, pattern: str):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split, self.odd = regex.compile(pattern).findall, regex.compile(PLAIN).search
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.begins, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
-
-    def learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter((x for i in ids for x in i), np.uint32)
-        n = len(self.place)
-        while n + len(new) + 1 > len(self.begins):
-            self.begins = np.append(self.begins, np.zeros_like(self.begins))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begins[n + 1 : n + 1 + len(new)] = self.used + np.cumsum([len(i) for i in ids])
-        self.used += len(flat)
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        byte = _bytes_of()
+        ranks = {bytes(byte[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
+        self.fast = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.odd = special, regex.compile(PLAIN).search
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if self.odd(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pre = self.split(text)
-        if len(self.place) > self.limit:
-            self.clear()
-        if new := list(set(pre).difference(self.place)):
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, pre), np.int64, len(pre))
-        begin, length = self.begins[at], self.begins[at + 1] - self.begins[at]
-        ends = np.cumsum(length)
-        return self.flat[np.repeat(begin - ends + length, length) + np.arange(ends[-1])]
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
 
 def decompose(n: int, cap: int) -> list[int]:
@@ -79,7 +68,7 @@ def _pack(path: str, pattern: str, cap: int):
     schema = pa.schema([(c, pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(batches):
-        encode = CachedTokenizer(path, pattern)
+        encode = FastTokenizer(path, pattern)
         next_id = TaskContext.get().partitionId() << 36
         rows, held = [], []
 
