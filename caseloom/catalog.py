@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import xml_escape
-from .operators import dfg, filters, footprint, relations, stats, variants
-from .plans import logs
-from .sources import dtlog
+from .mining.inductive import inductive_miner
+from .operators import dfg, filters, footprint, relations, replay, stats, variants
+from .plans import logs, models
+from .sources import dtlog, json_log, xes
 
 # ---- SQL building blocks -------------------------------------------------------------------------
 
@@ -323,3 +324,120 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# ---- conformance by replay, models and layouts -----------------------------------------------------
+
+def _dfg_precision(log: str) -> str:
+    cut = f"SELECT c, a, row_number() OVER (PARTITION BY c ORDER BY t, i) AS k, lag(a) OVER (PARTITION BY c ORDER BY t, i) AS last, string_agg(a, '>') OVER (PARTITION BY c ORDER BY t, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prefix FROM ({log})"
+    rows = f"SELECT prefix, any_value(last) AS last, count(*) AS n, count(DISTINCT a) AS seen FROM ({cut}) GROUP BY prefix"
+    allowed = f"SELECT r.n, r.seen, CASE WHEN r.prefix IS NULL THEN (SELECT count(DISTINCT a) FROM ({cut}) WHERE k = 1) ELSE (SELECT count(*) FROM ({_dfg(log)}) e WHERE e.source = r.last) END AS allowed FROM ({rows}) r"
+    return f"SELECT 1.0::DOUBLE AS log_fitness, 1.0::DOUBLE AS pct_fitting_traces, 1 - CAST(sum(n * (allowed - seen)) AS DOUBLE) / CAST(sum(n * allowed) AS DOUBLE) AS precision FROM ({allowed})"
+
+
+@query(_dfg_precision(CONV))
+def dfg_net_conformance_conv(spark, d):
+    return replay.dfg_conformance(logs.conversations(spark, d))
+
+
+@query(_dfg_precision(DAY))
+def dfg_net_conformance_day(spark, d):
+    return replay.dfg_conformance(logs.user_days(spark, d))
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+#: What mining the request log is known to give.
+_TREE = [
+    (0, None, 0, "sequence", None, 0), (1, 0, 0, None, "register request", 1), (2, 0, 1, "loop", None, 1), (3, 2, 0, "sequence", None, 2),
+    (4, 3, 0, "parallel", None, 3), (5, 4, 0, "xor", None, 4), (6, 5, 0, None, "examine casually", 5), (7, 5, 1, None, "examine thoroughly", 5),
+    (8, 4, 1, None, "check ticket", 4), (9, 3, 1, None, "decide", 3), (10, 2, 1, None, "reinitiate request", 2), (11, 0, 2, "xor", None, 1),
+    (12, 11, 0, None, "pay compensation", 2), (13, 11, 1, None, "reject request", 2),
+]
+_PLACES = [
+    ("start", "", "register request"), ("end", "pay compensation,reject request", ""), ("", "register request,reinitiate request", "examine casually,examine thoroughly"),
+    ("", "register request,reinitiate request", "check ticket"), ("", "examine casually,examine thoroughly", "decide"), ("", "check ticket", "decide"),
+    ("", "decide", "pay compensation,reinitiate request,reject request"),
+]
+
+
+@query("SELECT CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(ord AS INTEGER) AS ord, operator, label, CAST(depth AS INTEGER) AS depth FROM (" + _values("node_id, parent_id, ord, operator, label, depth", _TREE) + ")")
+def inductive_run_tree(spark, d):
+    return models.tree_nodes(spark)
+
+
+@query(_values("place, before, after", _PLACES))
+def alpha_run(spark, d):
+    return models.alpha_places(spark)
+
+
+@query()
+def inductive_run_net(spark, d):
+    return models.net_arcs(spark, "inductive")
+
+
+@query("SELECT 1.0::DOUBLE AS log_fitness, 1.0::DOUBLE AS pct_fitting_traces")
+def replay_run(spark, d):
+    log = logs.requests(spark)
+    return replay.fitness(log, inductive_miner(log, sound=True)[1])
+
+
+@query()
+def precision_run(spark, d):
+    log = logs.requests(spark)
+    return replay.precision(log, inductive_miner(log, sound=True)[1])
+
+
+@query()
+def inductive_conv_tree(spark, d):
+    return inductive_miner(logs.conversations(spark, d))[0].dataframe(spark)
+
+
+@query()
+def replay_conv(spark, d):
+    log = logs.conversations(spark, d)
+    return replay.fitness(log, inductive_miner(log, sound=True)[1])
+
+
+@query()
+def dfg_layout_ranks(spark, d):
+    return models.dfg_boxes(spark)
+
+
+@query()
+def dfg_edge_kinds(spark, d):
+    return models.dfg_edge_kinds(spark)
+
+
+@query()
+def net_layout_run(spark, d):
+    return models.net_positions(spark)
+
+
+@query()
+def tree_layout_run(spark, d):
+    return models.tree_boxes(spark)
+
+
+@query()
+def model_texts_run(spark, d):
+    return models.texts(spark)
+
+
+@query()
+def variant_colours(spark, d):
+    return models.colours(spark)
+
+
+@query(f"""SELECT case_key, '  <trace>' || chr(10) || '    <string key="concept:name" value="' || case_key || '"/>' || chr(10) || string_agg('    <event>' || chr(10) || '      <string key="concept:name" value="' || a || '"/>' || chr(10)
+    || '      <string key="lifecycle:transition" value="complete"/>' || chr(10) || '    </event>' || chr(10), '' ORDER BY t, i) || '  </trace>' AS xml FROM (SELECT c AS case_key, * FROM ({CONV})) GROUP BY case_key""")
+def xes_write_conv(spark, d):
+    return xes.write_lines(logs.conversations(spark, d))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS case_key, '{"attributes":{"concept:name":"' || conv_id || '"},"events":[' || string_agg('{"concept:name":"' || role || '"}', ',' ORDER BY turn) || ']}' AS json FROM conversations GROUP BY conv_id""")
+def json_write_conv(spark, d):
+    return json_log.case_lines(logs.conversations(spark, d))
