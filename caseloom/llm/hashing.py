@@ -8,6 +8,12 @@ import xxhash
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+def values(column, step: int = 256):
+    """Python values of an Arrow column, a few at a time."""
+    for k in range(0, len(column), step):
+        yield from column.slice(k, step).to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: close inputs get unrelated outputs."""
     x = (x ^ (x >> np.uint64(30))) * C
@@ -18,7 +24,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Hashes the words of a text after lower-casing A-Z; known words come from a bounded cache."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         self.seen: dict[bytes, int] = {}
         self.limit = limit
 

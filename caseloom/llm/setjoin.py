@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, staged
 from .components import connected_components
-from .hashing import A, B, WordHasher, mix64, shingle_set
+from .hashing import A, B, WordHasher, mix64, shingle_set, values
 
 #: Shingles kept as frequent ones: a fixed bound on what is sent to every task.
 HOT = 65_536
@@ -72,7 +72,7 @@ def _profile(n: int, least_count: int):
 
         for batch in batches:
             ids, out = batch.column(0), ([], [], [])
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 s = shingle_set(hasher(text), n)
                 out[0].append(_node(s) if len(s) else None)
                 out[1].append(_group(s) if len(s) else None)
@@ -80,7 +80,7 @@ def _profile(n: int, least_count: int):
                 if len(s):
                     pending.append(s)
                     held += len(s)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     count()
                     held = 0
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], schema=schema)
@@ -104,7 +104,7 @@ def _postings(n: int, percent: int, hot: np.ndarray):
         hasher, seen = WordHasher(), set()
         for batch in batches:
             parts = []
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 s = shingle_set(hasher(text), n)
                 if not len(s) or (node := _node(s)) in seen:
                     continue
@@ -217,33 +217,44 @@ class _Forest:
             self.edges.append((x, y))
 
 
+class _Index:
+    """Which of some sets have an element; counts shared elements with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        o = np.argsort(flat, kind="stable")
+        self.keys, self.owner, self.n = flat[o], owner[o], len(sets)
+
+    def shared(self, s: np.ndarray, at_once: int = 2048) -> np.ndarray:
+        out = np.zeros(self.n, np.int64)
+        for k in range(0, len(s), at_once):
+            part = s[k : k + at_once]
+            a, b = np.searchsorted(self.keys, part), np.searchsorted(self.keys, part, side="right")
+            n = b - a
+            if total := int(n.sum()):
+                ends = np.cumsum(n)
+                out += np.bincount(self.owner[np.repeat(a - ends + n, n) + np.arange(total)], minlength=self.n)
+        return out
+
+
 class _Cluster:
     """Sets held as differences from a pivot, with an index over the differences."""
 
-    def __init__(self, pivot: np.ndarray, members: list[int], sets: list[np.ndarray]):
-        self.pivot, self.members = pivot, np.array(members)
-        deltas, lost = zip(*(self.delta(sets[m]) for m in members), strict=True)
-        self.lost, self.size = np.array(lost), np.array([len(sets[m]) for m in members])
-        self.deltas = deltas
-        flat = np.concatenate(deltas) if deltas else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(members)), [len(d) for d in deltas])
-        o = np.argsort(flat, kind="stable")
-        self.keys, self.owner = flat[o], owner[o]
+    def __init__(self, pivot: np.ndarray, members: np.ndarray, sets: list[np.ndarray], dist: np.ndarray):
+        self.pivot, self.members, self.dist = pivot, members, dist
+        self.size = np.array([len(sets[m]) for m in members])
+        self.deltas, lost = zip(*(self.delta(sets[m]) for m in members), strict=True)
+        self.lost = np.array(lost)
+        self.index = _Index(list(self.deltas))
 
     def delta(self, s: np.ndarray) -> tuple[np.ndarray, int]:
-        common = np.isin(s, self.pivot, assume_unique=True)
-        minus = np.setdiff1d(self.pivot, s, assume_unique=True) if common.sum() < len(self.pivot) else self.pivot[:0]
-        return np.concatenate([s[~common], minus]), len(minus)
+        minus = np.setdiff1d(self.pivot, s, assume_unique=True)
+        return np.concatenate([np.setdiff1d(s, self.pivot, assume_unique=True), minus]), len(minus)
 
     def overlaps(self, delta: np.ndarray, lost: int) -> np.ndarray:
         """Overlap of a set with every member, from its difference alone."""
-        a, b = np.searchsorted(self.keys, delta), np.searchsorted(self.keys, delta, side="right")
-        hit = b > a
-        shared = np.zeros(len(self.members), np.int64)
-        if hit.any():
-            rows = np.concatenate([self.owner[x:y] for x, y in zip(a[hit].tolist(), b[hit].tolist(), strict=True)])
-            shared = np.bincount(rows, minlength=len(self.members))
-        return len(self.pivot) - lost - self.lost + shared
+        return len(self.pivot) - lost - self.lost + self.index.shared(delta)
 
 
 def _distance(overlap, a, b):
@@ -267,36 +278,35 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
                 check(x, z)
         return [(nodes[a], nodes[b]) for a, b in forest.edges]
 
-    left = list(range(n_own))
-    visitors = list(range(n_own, len(sets)))
-    while left:
-        pivot = sets[left[len(left) // 2]]
-        hits = np.array([len(np.intersect1d(sets[x], pivot, assume_unique=True)) for x in left])
-        dist = _distance(hits, np.array([len(sets[x]) for x in left]), len(pivot))
-        near, far = dist <= 0.5, dist > 0.5
-        own = np.array(left)
-        c = _Cluster(pivot, own[near].tolist(), sets)
-        near_dist = dist[near]
-        for k, x in enumerate(c.members.tolist() if among else ()):
-            ov = c.overlaps(c.deltas[k], int(c.lost[k]))
-            ok = linked(ov, c.size[k], c.size, percent)
-            for z in c.members[:k][ok[:k]].tolist():
-                forest.join(x, z)
-        # a set outside may still link to a member if both are about as far from the pivot
-        edge = np.flatnonzero(far & (dist <= 0.5 + reach)) if among else ()
-        for z, d in ((left[k], dist[k]) for k in edge):
-            for x in c.members[near_dist >= d - reach].tolist():
-                check(x, z)
-        for v in visitors:
-            a = len(sets[v])
-            delta, lost = c.delta(sets[v])
-            d = float(_distance(len(pivot) - lost, a, len(pivot)))
-            ring = np.abs(near_dist - d) <= reach
+    own, sizes = _Index(sets[:n_own]), np.array([len(s) for s in sets[:n_own]])
+    left, clusters = np.arange(n_own), []
+    while len(left):
+        p = left[len(left) // 2]
+        dist = _distance(own.shared(sets[p])[left], sizes[left], len(sets[p]))
+        near = dist <= 0.5
+        c = _Cluster(sets[p], left[near], sets, dist[near])
+        clusters.append(c)
+        if among:
+            for k, x in enumerate(c.members.tolist() if len(c.members) > 1 else ()):
+                ok = linked(c.overlaps(c.deltas[k], int(c.lost[k])), c.size[k], c.size, percent)
+                for z in c.members[:k][ok[:k]].tolist():
+                    forest.join(x, z)
+            # a set outside may still link to a member if both are about as far from the pivot
+            for k in np.flatnonzero(~near & (dist <= 0.5 + reach)):
+                for x in c.members[c.dist >= dist[k] - reach].tolist():
+                    check(int(left[k]), x)
+        left = left[~near]
+    pivots, pivot_size = _Index([c.pivot for c in clusters]), np.array([len(c.pivot) for c in clusters])
+    for v in range(n_own, len(sets)):
+        a = len(sets[v])
+        dist = _distance(pivots.shared(sets[v]), a, pivot_size)
+        for k in np.flatnonzero(dist <= 0.5 + reach):
+            c = clusters[k]
+            ring = np.abs(c.dist - dist[k]) <= reach
             if ring.any():
-                ov = c.overlaps(delta, lost)
+                ov = c.overlaps(*c.delta(sets[v]))
                 for z in c.members[ring & linked(ov, a, c.size, percent)].tolist():
                     forest.join(v, z)
-        left = own[far].tolist()
     return [(nodes[a], nodes[b]) for a, b in forest.edges]
 
 
@@ -317,7 +327,7 @@ def _meet(n: int, percent: int):
             return batch
 
         for batch in batches:
-            for h, i, j, role, node, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for h, i, j, role, node, text in zip(*(values(batch.column(k)) for k in range(6)), strict=True):
                 if (h, i, j) != meeting:
                     close()
                     meeting, nodes, sets, n_own, known = (h, i, j), [], [], 0, set()
@@ -349,7 +359,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     tasks = parallelism(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = staged(src.mapInArrow(_profile(n, 4), "kind byte, doc_id long, node long, grp long, size long"))
+    seen = staged(src.mapInArrow(_profile(n, 3), "kind byte, doc_id long, node long, grp long, size long"))
     rows = seen.where("kind = 0").select("doc_id", "node", "grp", "size")
     top = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(HOT)
     hot = np.array([r.node for r in top.collect()][::-1], np.int64).view(np.uint64)
