@@ -28,9 +28,11 @@ from .components import connected_components
 from .hashing import A, B, WordHasher, mix64, shingle_set, values
 
 #: Shingles kept as frequent ones: a fixed bound on what is sent to every task.
-HOT = 65_536
+HOT = 1 << 19
+#: Share of a block's documents from which a shingle counts as frequent there.
+OFTEN = 0.0005
 #: Members from which a list is long.
-LONG = 16
+LONG = 64
 #: Sets of one part of a meeting; a task holds two parts.
 PART = 512
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
@@ -54,7 +56,7 @@ def _group(s: np.ndarray) -> int:
     return int(mix64(s[:1] * np.uint64(3) + mix64(s).min()).view(np.int64)[0])
 
 
-def _profile(n: int, least_count: int):
+def _profile(n: int):
     """Rows for documents (kind 0) and for shingles that a partition holds often (kind 1)."""
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("size", pa.int64())])
 
@@ -63,11 +65,9 @@ def _profile(n: int, least_count: int):
 
         def count():
             u, c = np.unique(np.concatenate(pending), return_counts=True)
-            for t, k in zip(u[c >= least_count].tolist(), c[c >= least_count].tolist(), strict=True):
+            least = max(2, int(OFTEN * len(pending)))
+            for t, k in zip(u[c >= least].tolist(), c[c >= least].tolist(), strict=True):
                 often[t] = often.get(t, 0) + k
-            if len(often) > 4 * HOT:  # frequent ones only, so the least of them may go
-                for t in sorted(often, key=often.get)[: 2 * HOT]:
-                    del often[t]
             pending.clear()
 
         for batch in batches:
@@ -94,14 +94,14 @@ def _profile(n: int, least_count: int):
     return run
 
 
-def _postings(n: int, percent: int, hot: np.ndarray):
-    """Prefix shingles of each node: shingle, node, group, size, position. ``hot`` is in rising frequency."""
-    order = np.argsort(hot)
-    ranked = hot[order]
+def _postings(n: int, percent: int, frequent):
+    """Prefix shingles of each node: shingle, node, group, size, position. ``frequent``: a broadcast, in rising frequency."""
     schema = pa.schema([("tok", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        hasher, seen = WordHasher(), set()
+        hasher, seen, hot = WordHasher(), set(), frequent.value
+        order = np.argsort(hot)
+        ranked = hot[order]
         for batch in batches:
             parts = []
             for text in values(batch.column(0)):
@@ -359,10 +359,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     tasks = parallelism(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = staged(src.mapInArrow(_profile(n, 3), "kind byte, doc_id long, node long, grp long, size long"))
+    seen = staged(src.mapInArrow(_profile(n), "kind byte, doc_id long, node long, grp long, size long"))
     rows = seen.where("kind = 0").select("doc_id", "node", "grp", "size")
     top = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(HOT)
-    hot = np.array([r.node for r in top.collect()][::-1], np.int64).view(np.uint64)
+    hot = top.select("node").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
+    hot = spark.sparkContext.broadcast(np.ascontiguousarray(hot))
 
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"))
     nodes = staged(nodes)
