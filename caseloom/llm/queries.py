@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, licenses, lm, mixing, packing, quality, setjoin, sharding
+from . import chat, fingerprint, langid, licenses, lm, mixing, oracle, packing, quality, setjoin, sharding
 from .common import table
 
 
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
