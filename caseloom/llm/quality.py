@@ -38,18 +38,20 @@ TERMINAL = r"[.!?:;…。！？\"'”’»)\]]\s*$"
 NAVIGATION = r"[|›»•>]"
 
 
-def line_fails(line, short_words: int, max_symbol_share: float):
-    """Whether a line is furniture rather than prose: navigation, boilerplate, or neither a sentence nor long."""
-    n = F.regexp_count(line, F.lit(WORD))
-    marks = F.regexp_count(line, F.lit(NAVIGATION))
-    symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]"))
-    phrase = "(?i)" + "|".join(BOILERPLATE)
+def measured(line):
+    """A line with what the rules count in it, each counted once."""
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    return F.struct(line.alias("line"), count(WORD).alias("n"), count(NAVIGATION).alias("marks"), count(r"[#*$%&|<>]").alias("symbols"), count(r"!!+").alias("shouts"))
+
+
+def line_fails(m, short_words: int, max_symbol_share: float):
+    """Whether a measured line is furniture rather than prose: navigation, boilerplate, or neither a sentence nor long."""
     return (
-        ((marks >= 3) & (marks * 5 >= n))
-        | (symbols > F.lit(max_symbol_share) * F.length(line))
-        | (F.regexp_count(line, F.lit(r"!!+")) * 2 > n)
-        | (~line.rlike(TERMINAL) & (n < short_words))
-        | line.rlike(phrase)
+        ((m["marks"] >= 3) & (m["marks"] * 5 >= m["n"]))
+        | (m["symbols"] > F.lit(max_symbol_share) * F.length(m["line"]))
+        | (m["shouts"] * 2 > m["n"])
+        | ((m["n"] < short_words) & ~m["line"].rlike(TERMINAL))
+        | m["line"].rlike("(?i)" + "|".join(BOILERPLATE))
     )
 
 
@@ -106,7 +108,7 @@ def quality_rules(
         .withColumn("n_dup_lines", F.expr("cast(size(__spoken) - size(array_distinct(__spoken)) as bigint)"))
         .withColumn("n_repeat_words", F.expr("aggregate(transform(__p, (x, k) -> if(k + 1 < size(__p), least(3, __p[k + 1] - x), 3)), 0L, (a, x) -> a + x)"))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
-        .withColumn("__keep", F.filter("__lines", lambda x: ~line_fails(x, short_words, max_symbol_share)))
+        .withColumn("__keep", F.transform(F.filter(F.transform("__lines", measured), lambda m: ~line_fails(m, short_words, max_symbol_share)), lambda m: m["line"]))
         .withColumn("clean_text", F.array_join("__keep", "\n"))
         .withColumn("__left", F.expr("aggregate(__keep, 0L, (a, x) -> a + length(x))"))
         .withColumn("__all", F.expr("aggregate(__lines, 0L, (a, x) -> a + length(x))"))
