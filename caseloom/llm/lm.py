@@ -166,16 +166,18 @@ def labels_for(spark, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def score_texts(docs: DataFrame, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, strength: float = STRENGTH, block_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text; learn from those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for
     each row of ``docs``. Null texts count as empty: one token, the end. A null id counts as held
     in. Equal rows are scored, and learned from, each time. With nothing to learn from every word
-    is unknown. An empty table gives none.
+    is unknown. An empty table gives none. There are as many blocks as shuffle partitions, or more
+    where those would exceed ``block_bytes`` of text.
     """
     spark = docs.sparkSession
-    n = parallelism(spark)
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = max(parallelism(spark), -(-total // block_bytes))
     labels = labels_for(spark, n)
     key = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False))
