@@ -33,6 +33,8 @@ HOT = 1 << 19
 OFTEN = 0.0005
 #: Members from which a list is long.
 LONG = 64
+#: Index rows that a task sweeps, about.
+LIST_ROWS = 2_000_000
 #: Sets of one part of a meeting; a task holds two parts.
 PART = 512
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
@@ -367,6 +369,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"))
     nodes = staged(nodes)
+    shingles, docs_in = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(tasks, -(-(shingles * (100 - percent) // 100 + docs_in * MEET) // LIST_ROWS))
 
     lists = src.select("text").mapInArrow(_postings(n, percent, hot), "tok long, node long, grp long, size int, pos int")
     met = lists.repartition(tasks, "tok").mapInArrow(_visits(percent), "node long, host long, size long, met long")
