@@ -115,19 +115,21 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([features(texts[i]).astype("<f4").tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
 
-def fit(docs: DataFrame, per_language: int = 300, languages: int = 200, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, per_language: int = 300, languages: int = 200, sample: int = 4000, seed: int = 5) -> Model | None:
     """Fit on about ``per_language`` labelled rows of each of the ``languages`` most frequent ones.
 
-    These two bounds hold the sample at some ``per_language * languages`` vectors of 16 KB whatever the
-    corpus size. Rows are drawn by a hash of the id. None if no row is labelled.
+    There are fewer a language where ``sample`` rows would be exceeded, which bounds what reaches the driver (16 KB a
+    row, twice ``sample`` rows at the very most) whatever the corpus size. Rows are drawn by a hash of the
+    id. None if no row is labelled.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return None
+    per_language = max(1, min(per_language, sample // len(counts)))
     share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r.n))) for r in counts], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
-    rows = labelled.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").limit(2 * per_language * languages).collect()
+    rows = labelled.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").limit(2 * sample).collect()
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
     if not rows:
         return None
