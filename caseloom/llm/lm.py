@@ -3,11 +3,12 @@
 The states are the empty history and every word as a history. A state has an arc for each word seen
 after it, and a failure arc to the empty history, where every word has an arc:
 
-    arc(h, w)  = log10 (c(hw) + k P(w)) / (c(h) + k)        if c(hw) > 0
-    fail(h)    = log10 k / (c(h) + k)
+    arc(h, w)  = log10 ((1 - b) c(hw) / c(h) + b P(w))      if c(hw) > 0
+    fail(h)    = log10 b, b = weight * c(h) ** -decay; 0 for an unknown history
     root(w)    = log10 P(w), P(w) = (c(w) - d) / N for known words, d V / N for the unknown one
 
-so that each state's probabilities sum to one. The discount d = n1 / (n1 + 2 n2) comes from the numbers
+so that each state's probabilities sum to one. How much a history leaves to its failure arc thus
+falls slowly with how often it was seen. The discount d = n1 / (n1 + 2 n2) comes from the numbers
 of words seen once and twice. A text is read once from left to right; each word takes its arc, or
 the failure arc and then the root's.
 
@@ -29,7 +30,8 @@ from .common import parallelism
 from .hashing import A, B, WordHasher, mix64
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-STRENGTH = 64.0
+#: Share that a history seen once leaves to its failure arc, and the power by which it falls.
+WEIGHT, DECAY = 0.95, 0.05
 
 
 def held_out(doc_id, every: int = 7, remainder: int = 2):
@@ -111,16 +113,17 @@ def _answer(batches):
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def traverse(strength: float, c_word, c_history, c_pair, tokens: int, types: int, once: int, twice: int):
+def traverse(weight: float, decay: float, c_word, c_history, c_pair, tokens: int, types: int, once: int, twice: int):
     """Weight of each step, from corpus counts."""
     d = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
-    root = np.log10(np.where(c_word > 0, c_word - d, d * types) / tokens) if tokens else np.zeros(len(c_word))
-    fail = np.log10(strength / (c_history + strength))
-    arc = np.log10((c_pair + strength * 10.0**root) / (c_history + strength))
-    return np.where(c_pair > 0, arc, fail + root)
+    root = np.where(c_word > 0, c_word - d, d * types) / tokens if tokens else np.ones(len(c_word))
+    seen = np.maximum(c_history, 1)
+    back = np.where(c_history > 0, weight * seen.astype(float) ** -decay, 1.0)
+    arc, fail = (1 - back) * c_pair / seen + back * root, back * root
+    return np.log10(np.where(c_pair > 0, arc, fail))
 
 
-def _score(strength: float):
+def _score(weight: float, decay: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = docs.column("text").to_pylist()
         tok, lengths = _tokens(texts, WordHasher())
@@ -136,7 +139,7 @@ def _score(strength: float):
         c_history[begins] = starts
         pairs = np.unique(pair)
         c_pair = counts[1][np.searchsorted(pairs, pair)]
-        step = traverse(strength, c_word, c_history, c_pair, tokens, types, once, twice)
+        step = traverse(weight, decay, c_word, c_history, c_pair, tokens, types, once, twice)
         base = np.log10((c_word + 1.0) / (tokens + types + 1.0))
         add = np.add.reduceat
         return pa.table(
@@ -166,7 +169,7 @@ def labels_for(spark, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def score_texts(docs: DataFrame, strength: float = STRENGTH, block_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, weight: float = WEIGHT, decay: float = DECAY, block_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text; learn from those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for
@@ -185,4 +188,4 @@ def score_texts(docs: DataFrame, strength: float = STRENGTH, block_bytes: int =
     blocks = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), (~held).alias("train"), F.col(text_col).alias("text")).repartition(n, "block")
     asked = blocks.mapInArrow(_ask(labels), "owner long, part int, block long, kind byte, keys binary, counts binary, texts long").repartition(n, "owner")
     answers = asked.mapInArrow(_answer, "block long, part int, kind byte, counts binary, tokens long, types long, texts long, once long, twice long")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(strength), SCORED)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(weight, decay), SCORED)

@@ -148,15 +148,19 @@ def test_scores_match_a_plain_automaton(docs, rows):
             two.update(zip(["<s>", *t], t))
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == x for c in one.values()) for x in (1, 2))
-    d, k = n1 / (n1 + 2 * n2), lm.STRENGTH
+    d = n1 / (n1 + 2 * n2)
     p = lambda w: ((one[w] - d) if one[w] else d * v) / n
     hist = collections.Counter(one)
     hist["<s>"] = texts
+    back = lambda h: lm.WEIGHT * hist[h] ** -lm.DECAY if hist[h] else 1.0
+    step = lambda h, w: (1 - back(h)) * two[h, w] / max(1, hist[h]) + back(h) * p(w)
     assert abs(sum(p(w) for w in one) + d * v / n - 1) < 1e-9
+    state = max(one, key=one.get)
+    assert state is None or abs(sum(step(state, w) for w in one) + back(state) * d * v / n - 1) < 1e-9
     want = collections.Counter()
     for i, t in toks:
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10((two[h, w] + k * p(w)) / (hist[h] + k)) for h, w in zip(["<s>", *t], t))
+        score = sum(math.log10(step(h, w)) for h, w in zip(["<s>", *t], t))
         want[(i, held(i), len(t), sum(one[w] > 0 for w in t), n, round(base, 5), round(score, 5))] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out) == want
 
