@@ -125,9 +125,22 @@ def read(spark: SparkSession, path: str, sort_by_timestamp: bool = True, max_tra
         meta = header(_head(spark, path))
     rows = spark.read.format("xml").option("rowTag", "trace").option("nullValue", "\u0000").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(_schema()).load(path)
     rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    # ids rise with place in the file, which is all that an order of cases needs
+    return _log_of(rows, meta, sort_by_timestamp, max_traces)
+
+
+def parse(spark: SparkSession, text: str, sort_by_timestamp: bool = True, max_traces: int | None = None) -> EventLog:
+    """The same for XML at hand, such as an upload."""
+    meta = header(text)
+    whole = T.StructType([T.StructField("trace", T.ArrayType(_schema()))])
+    got = spark.createDataFrame([(text,)], "x string").select(F.from_xml("x", whole, {"ignoreNamespace": "true", "nullValue": "\u0000", "ignoreSurroundingSpaces": "false"}).alias("x"))
+    rows = got.select(F.posexplode("x.trace").alias("__id", "t")).select(F.col("__id").cast("long").alias("__id"), "t.*")
+    return _log_of(rows, meta, sort_by_timestamp, max_traces)
+
+
+def _log_of(rows: DataFrame, meta: Meta, sort_by_timestamp: bool, max_traces: int | None) -> EventLog:
     if max_traces is not None:
         rows = rows.orderBy("__id").limit(max_traces)
-    # ids rise with place in the file, which is all that an order of cases needs
     whole = F.struct(*[F.col(t) for t in (*SCALARS, *NESTED)])
     traces = rows.select(F.col("__id").alias("case_key"), _filled(attributes(whole), meta.globals.get("trace", {})).alias("attrs"), "event")
     cases = traces.select("case_key", F.col("attrs")[meta.case_id_key]["s"].alias("case_id"), "attrs")
