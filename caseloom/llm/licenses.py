@@ -34,12 +34,12 @@ TEMPLATES = (
 N = 5
 LIMIT = 10_000
 
-_EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_AROUND = regex.compile(r"[^\p{L}\p{N}\s]+(?=\s|$)|(?<=\s|^)[^\p{L}\p{N}\s]+")
 
 
 def _clean(text: str | None) -> str:
     """Words without the punctuation around them."""
-    return regex.sub(r"[^\p{L}\p{N}\s]+(?=\s|$)|(?<=\s|^)[^\p{L}\p{N}\s]+", lambda m: "" if m[0] else "", text or "")
+    return _AROUND.sub("", text or "")
 
 
 class Group:
