@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from ..log import EventLog
 
 
-def _in_case() -> Window:
+def in_case() -> Window:
     return Window.partitionBy("case_key").orderBy("event_order")
 
 
 def case_pairs(log: EventLog, window: int = 1) -> DataFrame:
     """``case_key, source, target`` for events ``window`` apart; a pair with a missing side is skipped, not bridged."""
-    pairs = log.events.select("case_key", F.col("activity").alias("source"), F.lead("activity", window).over(_in_case()).alias("target"))
+    pairs = log.events.select("case_key", F.col("activity").alias("source"), F.lead("activity", window).over(in_case()).alias("target"))
     return pairs.where("source is not null and target is not null")
 
 

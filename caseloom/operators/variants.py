@@ -14,16 +14,17 @@ from ..log import EventLog
 
 
 def case_variants(log: EventLog) -> DataFrame:
-    """``case_key, variant`` (array), with ``first_order`` of the case's first event for stable ties."""
+    """``case_key, variant`` (array), ``first_order`` of the case's first event for stable ties, and ``length`` in events."""
     per = log.events.groupBy("case_key").agg(
         F.sort_array(F.collect_list(F.when(F.col("activity").isNotNull(), F.struct("event_order", "activity")))).alias("__e"),
         F.min("event_order").alias("first_order"),
+        F.count(F.lit(1)).alias("length"),
     )
-    per = per.select("case_key", F.transform("__e", lambda e: e["activity"]).alias("variant"), "first_order")
+    per = per.select("case_key", F.transform("__e", lambda e: e["activity"]).alias("variant"), "first_order", "length")
     if log.own_cases is None:
         return per
     joined = log.cases.select("case_key").join(per, "case_key", "left")
-    return joined.withColumn("variant", F.coalesce("variant", F.array().cast("array<string>")))
+    return joined.withColumns({"variant": F.coalesce("variant", F.array().cast("array<string>")), "length": F.coalesce("length", F.lit(0))})
 
 
 def uvcl(log: EventLog) -> DataFrame:
