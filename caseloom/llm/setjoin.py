@@ -35,8 +35,8 @@ OFTEN = 0.0005
 LONG = 64
 #: Index rows that a task sweeps, about.
 LIST_ROWS = 2_000_000
-#: Sets of one part of a meeting; a task holds two parts.
-PART = 512
+#: A meeting is dealt into SPREAD parts, of PART_LEAST to PART_MOST sets; a task holds two parts.
+SPREAD, PART_LEAST, PART_MOST = 16, 128, 4096
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
 MEET = 12
 
@@ -383,7 +383,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     guests = visits.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "host")
     there = staged(own.unionByName(guests))
     # a meeting of k parts becomes k (k + 1) / 2 tasks
-    parts = there.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("k"))
+    many = F.count(F.lit(1))
+    part = F.least(F.lit(PART_MOST), F.greatest(F.lit(PART_LEAST), many / SPREAD))
+    parts = there.groupBy("host").agg(F.ceil(many / part).cast("int").alias("k"))
     dealt = there.join(parts, "host").withColumn("p", F.pmod(F.xxhash64("node"), "k").cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("doc_id", "node", "host", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("role"))

@@ -99,7 +99,7 @@ def test_join_finds_the_same_components(docs, rows, n, percent):
 
 
 def test_join_with_small_parts_and_lists(docs, rows, monkeypatch):
-    monkeypatch.setattr(setjoin, "PART", 6)
+    monkeypatch.setattr(setjoin, "PART_LEAST", 6)
     monkeypatch.setattr(setjoin, "LONG", 4)
     out = setjoin.jaccard_components(docs, 3, 80).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_components(rows, 3, 80)
