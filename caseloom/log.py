@@ -27,17 +27,21 @@ class Meta:
     classifiers: dict = field(default_factory=dict)
     properties: dict = field(default_factory=dict)
 
+    def _key(self, name: str, default: str) -> str:
+        """A key that the properties set, whatever stands before its name."""
+        return next((v for k, v in self.properties.items() if k.rpartition(":")[2] == name and v), default)
+
     @property
     def activity_key(self) -> str:
-        return self.properties.get("pm4py:param:activity_key", ACTIVITY)
+        return self._key("activity_key", ACTIVITY)
 
     @property
     def timestamp_key(self) -> str:
-        return self.properties.get("pm4py:param:timestamp_key", TIMESTAMP)
+        return self._key("timestamp_key", TIMESTAMP)
 
     @property
     def case_id_key(self) -> str:
-        return self.properties.get("pm4py:param:case_id_key", CASE_ID)
+        return self._key("case_id_key", CASE_ID)
 
 
 @dataclass(frozen=True)

@@ -128,3 +128,9 @@ def test_escaping(spark):
     want = "&lt;a href=&quot;x&quot;&gt;&apos;&amp;amp;&apos;&lt;/a&gt;"
     df = spark.createDataFrame([(text,), (None,)], "x string")
     assert [r.y for r in df.select(xml_escape(F.col("x")).alias("y")).collect()] == [want, ""] and xml_escaped(text) == want and xml_escaped(None) == ""
+
+
+def test_keys_can_be_set(spark):
+    log = json_log.from_json(spark, {"properties": {"x:param:activity_key": "step"}, "traces": [{"attributes": {"concept:name": "c"}, "events": [{"step": "A", "concept:name": "B"}]}]})
+    assert log.meta.activity_key == "step" and log.meta.timestamp_key == "time:timestamp"
+    assert [r.activity for r in log.events.collect()] == ["A"]
