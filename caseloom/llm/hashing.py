@@ -22,11 +22,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Hashes the words of a text after lower-casing A-Z; known words come from a bounded cache."""
+    """Hashes the words of a text after lower-casing A-Z; known words come from a bounded cache.
 
-    def __init__(self, limit: int = 150_000):
+    ``clean`` is applied to each word first; what it leaves nothing of has the hash 0.
+    """
+
+    def __init__(self, limit: int = 150_000, clean=None):
         self.seen: dict[bytes, int] = {}
-        self.limit = limit
+        self.limit, self.clean = limit, clean
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII letters and ASCII space
@@ -34,7 +37,8 @@ class WordHasher:
         if len(seen) > self.limit:
             seen.clear()
         for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
+            bare = self.clean(w) if self.clean else w
+            seen[w] = xxhash.xxh3_64_intdigest(bare) if bare else 0
         return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

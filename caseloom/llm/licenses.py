@@ -34,12 +34,12 @@ TEMPLATES = (
 N = 5
 LIMIT = 10_000
 
-_AROUND = regex.compile(r"[^\p{L}\p{N}\s]+(?=\s|$)|(?<=\s|^)[^\p{L}\p{N}\s]+")
+_AROUND = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
 
-def _clean(text: str | None) -> str:
-    """Words without the punctuation around them."""
-    return _AROUND.sub("", text or "")
+def _bare(word: bytes) -> bytes:
+    """A word without the punctuation around it."""
+    return _AROUND.sub("", word.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")
 
 
 class Group:
@@ -60,9 +60,9 @@ class Group:
 
 class Scanner:
     def __init__(self, templates, share: float = 0.8, miss: float = 1e-6):
-        self.share, self.hasher, groups = share, WordHasher(), {}
+        self.share, self.hasher, groups = share, WordHasher(clean=_bare), {}
         for name, text in templates:
-            h = self.hasher(_clean(text))
+            h = self.words(text)
             if len(h):
                 g = groups.setdefault(len(h), Group(len(h), share, miss))
                 g.names.append(name)
@@ -70,9 +70,13 @@ class Scanner:
         self.groups = list(groups.values())
         self.seeds = mix64(np.arange(1, 1 + max([g.bands for g in self.groups], default=0), dtype=np.uint64) * A)
 
+    def words(self, text: str | None) -> np.ndarray:
+        h = self.hasher(text)
+        return h[h != 0]
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """Matches as (template, first word, words, containment): the best window of each run of overlapping ones."""
-        h, found, by_n = self.hasher(_clean(text)), [], {}
+        h, found, by_n = self.words(text), [], {}
         for g in self.groups:
             if len(h) < g.n:
                 continue
