@@ -76,7 +76,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """Matches as (template, first word, words, containment): the best window of each run of overlapping ones."""
-        h, found, by_n = self.words(text), [], {}
+        h, found, by_n, mixed = self.words(text), [], {}, {}
         for g in self.groups:
             if len(h) < g.n:
                 continue
@@ -85,8 +85,10 @@ class Scanner:
             s = by_n[g.n]
             starts = np.arange(0, max(1, len(s) - g.width + g.hop), g.hop)
             hits: set[tuple[int, int]] = set()
-            for seed in self.seeds[: g.bands]:
-                m = s if g.width == 1 and g.bands == 1 else mix64(s ^ seed)
+            for band, seed in enumerate(self.seeds[: g.bands]):
+                if (g.n, band) not in mixed:
+                    mixed[g.n, band] = mix64(s ^ seed)
+                m = mixed[g.n, band]
                 k = 1
                 low = m
                 while 2 * k <= min(g.width, len(s)):
@@ -96,7 +98,7 @@ class Scanner:
                 b = np.minimum(np.maximum(starts + g.width - k, 0), len(low) - 1)
                 least = np.minimum(low[a], low[b])
                 for t, ts in enumerate(g.sets):
-                    want = (ts if g.width == 1 and g.bands == 1 else mix64(ts ^ seed)).min()
+                    want = mix64(ts ^ seed).min()
                     hits.update((t, int(x)) for x in starts[least == want])
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for t, x in sorted(hits):
