@@ -74,6 +74,11 @@ def dfg_user(spark, d):
     return dfg.dfg(logs.users(spark, d))
 
 
+@query(_dfg(USER))
+def dfg_user_split(spark, d):
+    return dfg.dfg(logs.users(spark, d), split_cases=True)
+
+
 @query(_dfg(CONV))
 def dfg_conv(spark, d):
     return dfg.dfg(logs.conversations(spark, d))

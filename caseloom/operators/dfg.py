@@ -22,9 +22,30 @@ def case_pairs(log: EventLog, window: int = 1) -> DataFrame:
     return pairs.where("source is not null and target is not null")
 
 
-def dfg(log: EventLog, window: int = 1, once_per_case: bool = False) -> DataFrame:
-    """``source, target, cnt``."""
-    pairs = case_pairs(log, window)
+def split_pairs(log: EventLog, slices: int | None = None) -> DataFrame:
+    """The same pairs of neighbours where single cases are too long for a task each.
+
+    Events are range-partitioned by case and order, so a long case lies in several slices. Neighbours are
+    found within a slice; the last event of a slice meets the first of the case's next one, of which
+    there are as many as cases and slices together.
+    """
+    keys = ["case_key", "event_order"]
+    events = log.events.select(*keys, "activity")
+    spread = events.repartitionByRange(slices, *keys) if slices else events.repartitionByRange(*keys)
+    spread = spread.withColumn("slice", F.spark_partition_id())
+    inside = Window.partitionBy("case_key", "slice").orderBy("event_order")
+    step = spread.select("case_key", "slice", F.col("activity").alias("source"), F.lead("activity").over(inside).alias("target"), F.lead("event_order").over(inside).isNull().alias("last"))
+    heads = spread.groupBy("case_key", "slice").agg(F.min(F.struct("event_order", "activity"))["activity"].alias("head"))
+    heads = heads.select("case_key", F.lag("slice").over(Window.partitionBy("case_key").orderBy("slice")).alias("slice"), F.lit(True).alias("last"), "head")
+    pairs = step.join(heads.where("slice is not null"), ["case_key", "slice", "last"], "left").select("case_key", "source", F.coalesce("target", "head").alias("target"))
+    return pairs.where("source is not null and target is not null").select("case_key", "source", "target")
+
+
+def dfg(log: EventLog, window: int = 1, once_per_case: bool = False, split_cases: bool = False) -> DataFrame:
+    """``source, target, cnt``. ``split_cases`` takes another two shuffles, and no longer needs a task to order a whole case."""
+    if split_cases and window != 1:
+        raise ValueError("cases can be split for neighbours only")
+    pairs = split_pairs(log) if split_cases else case_pairs(log, window)
     if once_per_case:
         pairs = pairs.distinct()
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("cnt"))

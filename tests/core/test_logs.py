@@ -47,6 +47,17 @@ def test_graph_windows_and_once_per_case(spark, small):
     assert {r.source + r.target: r.thickness for r in dfg.edge_thickness(dfg.dfg(small)).collect()} == {"AB": 7, "BC": 7, "AC": 4}
 
 
+def test_split_cases_give_the_same_pairs(spark):
+    rows = [("hot" if k % 3 else f"c{k % 7}", k, None if k % 11 == 0 else "ABCDE"[(k * k) % 5]) for k in range(900)] + [("one", 1, "A")]
+    log = EventLog(spark.createDataFrame(rows, "case_key string, event_order int, activity string").repartition(5))
+    want = edges(dfg.dfg(log))
+    assert edges(dfg.dfg(log, split_cases=True)) == want
+    got = dfg.split_pairs(log, 9).groupBy("source", "target").agg(F.count(F.lit(1)).alias("cnt"))
+    assert edges(got) == want
+    with pytest.raises(ValueError):
+        dfg.dfg(log, window=2, split_cases=True)
+
+
 def test_missing_activities_and_empty_cases(spark):
     log = of_sequences(spark, {"1": ["A", None, "B"], "2": [], "3": [None, "A"]})
     assert counts(variants.uvcl(log)) == {"AB": 1, "": 1, "A": 1}
