@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Characters and their XML entities, in the order of replacement.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
+#: White space of the delimited format (no-break and ideographic spaces and the byte order mark too, but not U+0085).
+WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
 
 def xml_escape(x: Column) -> Column:
     """XML-safe text; null gives the empty string."""
@@ -27,7 +30,7 @@ def xml_escaped(x) -> str:
 
 def trimmed(x: Column) -> Column:
     """Without any white space at both ends, not only spaces."""
-    return F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    return F.regexp_replace(x, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def half_up(x: float) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
+from ..functions.text import WHITE, trimmed
 from ..log import COMPLETE, EventLog
 from ..operators.filters import with_event_index
 
@@ -33,8 +33,9 @@ def parse(lines: DataFrame) -> tuple[EventLog, DataFrame]:
     """
     line = trimmed(F.col("line"))
     bare = lines.select("doc", "line_no", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    cut = F.when(F.contains("line", F.lit(",")), F.split("line", ",")).otherwise(F.split("line", r"(?U)[\s\x{FEFF}]+"))
-    cut = bare.withColumn("acts", F.filter(F.transform(cut, trimmed), lambda a: a != ""))
+    parts = F.transform(F.split("line", ","), trimmed)
+    cut = F.when(F.contains("line", F.lit(",")), F.filter(parts, lambda a: a != "")).otherwise(F.split("line", f"[{WHITE}]+"))
+    cut = bare.withColumn("acts", cut)
     errors = cut.where(F.size("acts") == 0).select("doc", "line_no", F.concat(F.lit("Line "), F.col("line_no"), F.lit(": no activities found")).alias("message"))
     good = cut.where(F.size("acts") > 0).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")))
     key = F.struct("doc", "n").alias("case_key")
@@ -57,5 +58,5 @@ def render(log: EventLog) -> DataFrame:
     named = with_event_index(log).where("activity is not null")
     gathered = named.groupBy("case_key").agg(F.sort_array(F.collect_list(F.struct("event_idx", "activity"))).alias("__e"))
     acts = gathered.select("case_key", F.transform("__e", lambda e: e["activity"]).alias("acts"))
-    spaced = F.exists("acts", lambda a: a.rlike(r"(?U)[\s\x{FEFF}]"))
+    spaced = F.exists("acts", lambda a: a.rlike(f"[{WHITE}]"))
     return acts.select("case_key", F.when(spaced, F.array_join("acts", ", ")).otherwise(F.array_join("acts", " ")).alias("line"))
