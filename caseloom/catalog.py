@@ -298,7 +298,7 @@ _DT = rf"""SELECT doc, l.no AS line_no, list_filter(list_transform(CASE WHEN con
 
 
 def _documents_as_log(spark, d):
-    return dtlog.parse(dtlog.lines_of(logs.table(spark, d, "documents"), "text", "doc_id"))
+    return dtlog.parse(dtlog.texts_of(logs.table(spark, d, "documents"), "text", "doc_id"))
 
 
 @query(f"SELECT doc, 'case-' || n AS case_id, CAST(k - 1 AS BIGINT) AS event_idx, acts[k] AS activity, CAST((n - 1) * 3600 + (k - 1) * 60 AS BIGINT) AS offset_s FROM (SELECT *, unnest(range(1, len(acts) + 1)) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS n FROM ({_DT}) WHERE len(acts) > 0))")

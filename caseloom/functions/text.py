@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 #: White space of the delimited format (no-break and ideographic spaces and the byte order mark too, but not U+0085).
-WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def xml_escape(x: Column) -> Column:
@@ -30,7 +30,7 @@ def xml_escaped(x) -> str:
 
 def trimmed(x: Column) -> Column:
     """Without any white space at both ends, not only spaces."""
-    return F.regexp_replace(x, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(x, F.lit(WHITE))
 
 
 def half_up(x: float) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, trimmed
@@ -13,31 +13,38 @@ from ..operators.filters import with_event_index
 BASE, STEP, GAP = "2024-01-01 00:00:00", 60, 3600
 
 
-def lines_of(text: DataFrame, text_col: str = "text", doc_col: str | None = None) -> DataFrame:
-    """``doc, line_no, line`` from whole texts; line numbers count from 1 in their text."""
-    doc = F.col(doc_col) if doc_col else F.lit(0)
-    return text.select(doc.alias("doc"), F.posexplode(F.split(text_col, r"\r?\n")).alias("i", "line")).select("doc", (F.col("i") + 1).alias("line_no"), "line")
+def texts_of(df: DataFrame, text_col: str = "text", doc_col: str | None = None) -> DataFrame:
+    """``doc, text``: whole texts, each numbered on its own."""
+    return df.select((F.col(doc_col) if doc_col else F.lit(0)).alias("doc"), F.col(text_col).alias("text"))
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """Lines of a text file. A file is one value here, as line numbers need the lines before."""
-    return lines_of(spark.read.text(path, wholetext=True), "value")
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Text files, a value each, as line numbers need the lines before."""
+    return texts_of(spark.read.text(path, wholetext=True), "value")
 
 
-def parse(lines: DataFrame) -> tuple[EventLog, DataFrame]:
-    """A log and its errors (``doc, line_no, message``).
+def _activities(line: Column) -> Column:
+    """What a trimmed line names: parts between commas if there are any, else between white space."""
+    parts = F.filter(F.transform(F.split(line, ","), trimmed), lambda a: a != "")
+    return F.when(F.contains(line, F.lit(",")), parts).otherwise(F.split(line, f"[{WHITE}]+"))
+
+
+def parse(texts: DataFrame) -> tuple[EventLog, DataFrame]:
+    """A log and its errors (``doc, line_no, message``) from ``doc, text``.
 
     Blank lines and ``#`` comments are skipped. A line with a comma is cut at commas, any other at white
     space. A line without activities is an error and takes no case number. Case N of a text starts
-    N - 1 hours after the base, its events a minute apart, all of them complete.
+    N - 1 hours after the base, its events a minute apart, all of them complete. Lines are numbered inside
+    their text, so nothing is shuffled.
     """
-    line = trimmed(F.col("line"))
-    bare = lines.select("doc", "line_no", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
-    parts = F.transform(F.split("line", ","), trimmed)
-    cut = F.when(F.contains("line", F.lit(",")), F.filter(parts, lambda a: a != "")).otherwise(F.split("line", f"[{WHITE}]+"))
-    cut = bare.withColumn("acts", cut)
-    errors = cut.where(F.size("acts") == 0).select("doc", "line_no", F.concat(F.lit("Line "), F.col("line_no"), F.lit(": no activities found")).alias("message"))
-    good = cut.where(F.size("acts") > 0).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")))
+    lines = F.transform(F.split("text", r"\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), trimmed(x).alias("line")))
+    named = F.filter(lines, lambda r: (r["line"] != "") & ~F.startswith(r["line"], F.lit("#")))
+    cut = texts.select("doc", F.transform(named, lambda r: F.struct(r["line_no"].alias("line_no"), _activities(r["line"]).alias("acts"))).alias("cut"))
+    errors = cut.select("doc", F.explode(F.filter("cut", lambda r: F.size(r["acts"]) == 0)).alias("r"))
+    errors = errors.select("doc", "r.line_no", F.concat(F.lit("Line "), F.col("r.line_no"), F.lit(": no activities found")).alias("message"))
+    # outer: else Spark first filters on the size of what is exploded, and so parses every text twice
+    good = cut.select("doc", F.posexplode_outer(F.filter("cut", lambda r: F.size(r["acts"]) > 0)).alias("i", "r")).where("r is not null")
+    good = good.select("doc", (F.col("i") + 1).alias("n"), "r.acts")
     key = F.struct("doc", "n").alias("case_key")
     name = F.concat(F.lit("case-"), F.col("n")).alias("case_id")
     cases = good.select(key, name)

@@ -91,7 +91,7 @@ def test_xes_round_trip(spark, path, tmp_path):
 
 
 def lines(spark, text):
-    return dtlog.lines_of(spark.createDataFrame([(text,)], "text string"))
+    return dtlog.texts_of(spark.createDataFrame([(text,)], "text string"))
 
 
 def test_delimited_traces(spark):
