@@ -4,8 +4,11 @@ Texts and templates are compared by 5-word shingles (all the words of a shorter
 templates of one length, windows slightly longer than the template start every ``hop`` words, so any
 occurrence lies inside one. A band is one MinHash value; a window that holds the required share of
 a template's shingles has at least the Jaccard similarity ``floor_similarity`` with it, and the
-number of bands is set so that the chance of no equal band is below one in a million. Each retrieved
-window is then checked by exact containment of the template's shingles.
+number of bands is set so that the chance of no equal band is below one in a million. A band can only
+be equal where the template's smallest shingle in it stands, so bands are computed for the windows
+around such shingles alone. Each retrieved window is then checked by exact containment of the
+template's shingles. Templates that resemble each other may match in one place; containment tells
+them apart.
 """
 
 from __future__ import annotations
@@ -19,18 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import A, WordHasher, mix64, windows
+from .license_texts import LONG, SHORT
 
-#: Usual one-line license notices.
-TEMPLATES = (
-    ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("bsd", "Use of this source code is governed by a BSD-style license."),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-)
+TEMPLATES = SHORT + LONG
 N = 5
 LIMIT = 10_000
 
@@ -69,6 +63,15 @@ class Scanner:
                 g.sets.append(np.unique(windows(h, g.n)))
         self.groups = list(groups.values())
         self.seeds = mix64(np.arange(1, 1 + max([g.bands for g in self.groups], default=0), dtype=np.uint64) * A)
+        #: By shingle length, the templates' smallest shingles: (group, template, seed, minimum) of the bands they stand for.
+        self.smallest: dict[int, dict[int, list]] = {}
+        for g in self.groups:
+            for t, ts in enumerate(g.sets):
+                for seed in self.seeds[: g.bands]:
+                    mixed = mix64(ts ^ seed)
+                    key = int(ts[mixed.argmin()])
+                    self.smallest.setdefault(g.n, {}).setdefault(key, []).append((g, t, seed, mixed.min()))
+        self.keys = {n: np.sort(np.fromiter(of, np.uint64, len(of))) for n, of in self.smallest.items()}
 
     def words(self, text: str | None) -> np.ndarray:
         h = self.hasher(text)
@@ -76,40 +79,38 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """Matches as (template, first word, words, containment): the best window of each run of overlapping ones."""
-        h, found, by_n, mixed = self.words(text), [], {}, {}
-        for g in self.groups:
-            if len(h) < g.n:
-                continue
-            if g.n not in by_n:
-                by_n[g.n] = windows(h, g.n)
-            s = by_n[g.n]
-            starts = np.arange(0, max(1, len(s) - g.width + g.hop), g.hop)
-            hits: set[tuple[int, int]] = set()
-            for band, seed in enumerate(self.seeds[: g.bands]):
-                if (g.n, band) not in mixed:
-                    mixed[g.n, band] = mix64(s ^ seed)
-                m = mixed[g.n, band]
-                k = 1
-                low = m
-                while 2 * k <= min(g.width, len(s)):
-                    low = np.minimum(low[:-k], low[k:])
-                    k *= 2
-                a = np.minimum(starts, len(low) - 1)
-                b = np.minimum(np.maximum(starts + g.width - k, 0), len(low) - 1)
-                least = np.minimum(low[a], low[b])
-                for t, ts in enumerate(g.sets):
-                    want = mix64(ts ^ seed).min()
-                    hits.update((t, int(x)) for x in starts[least == want])
+        h, found = self.words(text), []
+        for n, keys in self.keys.items():
+            if len(h) >= n:
+                s = windows(h, n)
+                at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s)
+                if len(at):
+                    found += self._matches(s, n, at, len(h))
+        return sorted(found, key=lambda f: (f[1], f[0]))
+
+    def _matches(self, s: np.ndarray, n: int, at: np.ndarray, n_words: int) -> list[tuple[str, int, int, float]]:
+        """Matches among shingles ``s``, where ``at`` are the places of smallest shingles."""
+        hits: dict[Group, set[tuple[int, int]]] = {}
+        for key in np.unique(s[at]):
+            places = at[s[at] == key]
+            for g, t, seed, want in self.smallest[n][int(key)]:
+                last = max(0, len(s) - g.width + g.hop - 1) // g.hop
+                low, high = np.maximum(places - g.width + g.hop, 0) // g.hop, np.minimum(places // g.hop, last)
+                around = {k * g.hop for a, b in zip(low.tolist(), high.tolist(), strict=True) for k in range(a, b + 1)}
+                known = hits.setdefault(g, set())
+                known.update((t, x) for x in around if (t, x) not in known and mix64(s[x : x + g.width] ^ seed).min() == want)
+        found = []
+        for g, retrieved in hits.items():
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for t, x in sorted(hits):
+            for t, x in sorted(retrieved):
                 have = len(np.intersect1d(s[x : x + g.width], g.sets[t])) / len(g.sets[t])
                 if have >= self.share - 1e-12:
                     run = next((r for r in ((t, y) for y in range(x - g.width, x)) if r in best), None)
                     if run is None or have > best[run][0]:
                         best.pop(run, None)
                         best[(t, x)] = (have, x)
-            found += [(g.names[t], x, min(g.width + g.n - 1, len(h) - x), have) for (t, _), (have, x) in best.items()]
-        return sorted(found, key=lambda f: (f[1], f[0]))
+            found += [(g.names[t], x, min(g.width + g.n - 1, n_words - x), have) for (t, _), (have, x) in best.items()]
+        return found
 
 
 def _scan(templates, share: float):
