@@ -28,6 +28,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of rows that each links to directly."""
+    out = setjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op2_ngram_jaccard_links": op2_ngram_jaccard_links,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_source_mixing": op4_source_mixing,
         "op5_license_scan": op5_license_scan,

@@ -9,8 +9,9 @@ its largest group. Either way a node only learns which groups to visit, and pair
 are never listed. Where a group meets its visitors, sets are held as differences from a pivot set,
 and one set's answers follow from the pivot's: overlap(x, z) = |p| - |p minus x| - |p minus z| +
 shared differences, and sets whose distances to the pivot differ by more than the threshold are
-skipped. A large meeting is dealt into parts, and each pair of parts is a task of its own. Links come
-back as a spanning forest, never as all pairs.
+skipped. A large meeting is dealt into parts, and each pair of parts is a task of its own. Every link is
+verified and counted, in the smallest of the groups where its two sets meet; what comes back is a
+spanning forest and each set's number of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -263,22 +264,40 @@ def _distance(overlap, a, b):
     return 1.0 - overlap / np.maximum(a + b - overlap, 1)
 
 
-def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among all sets, or between the first ``n_own`` and the rest if there is a rest."""
-    forest, reach = _Forest(), 1 - percent / 100 + 1e-9
+class _Links:
+    """Links among the sets of a meeting: a spanning forest, and how many rows each set links to.
 
-    def check(x: int, z: int) -> None:
-        a, b = len(sets[x]), len(sets[z])
-        if min(a, b) * 100 >= percent * max(a, b) and forest.root(x) != forest.root(z):
-            if linked(len(np.intersect1d(sets[x], sets[z], assume_unique=True)), a, b, percent):
-                forest.join(x, z)
+    ``copies``: rows of each set. ``earlier``: smaller groups where a set takes part; a link between
+    sets that share one of them is counted there.
+    """
 
+    def __init__(self, copies: np.ndarray, earlier: list[np.ndarray]):
+        self.forest, self.copies, self.n = _Forest(), copies, np.zeros(len(copies), np.int64)
+        self.earlier, self.at = earlier, np.flatnonzero([len(e) for e in earlier])
+        self.index = _Index([earlier[k] for k in self.at])
+
+    def add(self, x: int, others: np.ndarray) -> None:
+        """``x`` links to each of ``others``; a pair is added once."""
+        for z in others.tolist():
+            self.forest.join(x, z)
+        if len(self.earlier[x]) and len(others):
+            elsewhere = self.at[self.index.shared(self.earlier[x]) > 0]
+            others = others[~np.isin(others, elsewhere)]
+        self.n[x] += self.copies[others].sum()
+        self.n[others] += self.copies[x]
+
+
+def link_sets(sets: list[np.ndarray], n_own: int, percent: int, links: _Links) -> None:
+    """Add all links among all sets, or between the first ``n_own`` and the rest if there is a rest."""
+    reach = 1 - percent / 100 + 1e-9
     among = n_own == len(sets)
     if n_own * (len(sets) - 1) <= 48:
         for x in range(n_own):
             for z in range(x + 1 if among else n_own, len(sets)):
-                check(x, z)
-        return [(nodes[a], nodes[b]) for a, b in forest.edges]
+                a, b = len(sets[x]), len(sets[z])
+                if min(a, b) * 100 >= percent * max(a, b) and linked(len(np.intersect1d(sets[x], sets[z], assume_unique=True)), a, b, percent):
+                    links.add(x, np.array([z]))
+        return
 
     own, sizes = _Index(sets[:n_own]), np.array([len(s) for s in sets[:n_own]])
     left, clusters = np.arange(n_own), []
@@ -291,12 +310,13 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
         if among:
             for k, x in enumerate(c.members.tolist() if len(c.members) > 1 else ()):
                 ok = linked(c.overlaps(c.deltas[k], int(c.lost[k])), c.size[k], c.size, percent)
-                for z in c.members[:k][ok[:k]].tolist():
-                    forest.join(x, z)
+                links.add(x, c.members[:k][ok[:k]])
             # a set outside may still link to a member if both are about as far from the pivot
             for k in np.flatnonzero(~near & (dist <= 0.5 + reach)):
-                for x in c.members[c.dist >= dist[k] - reach].tolist():
-                    check(int(left[k]), x)
+                ring = (c.dist >= dist[k] - reach) & (np.minimum(c.size, sizes[left[k]]) * 100 >= percent * np.maximum(c.size, sizes[left[k]]))
+                if ring.any():
+                    ov = c.overlaps(*c.delta(sets[left[k]]))
+                    links.add(int(left[k]), c.members[ring & linked(ov, sizes[left[k]], c.size, percent)])
         left = left[~near]
     pivots, pivot_size = _Index([c.pivot for c in clusters]), np.array([len(c.pivot) for c in clusters])
     for v in range(n_own, len(sets)):
@@ -307,38 +327,53 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
             ring = np.abs(c.dist - dist[k]) <= reach
             if ring.any():
                 ov = c.overlaps(*c.delta(sets[v]))
-                for z in c.members[ring & linked(ov, a, c.size, percent)].tolist():
-                    forest.join(v, z)
-    return [(nodes[a], nodes[b]) for a, b in forest.edges]
+                links.add(v, c.members[ring & linked(ov, a, c.size, percent)])
+
+
+def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links that ``link_sets`` finds."""
+    links = _Links(np.ones(len(sets), np.int64), [np.zeros(0, np.int64)] * len(sets))
+    link_sets(sets, n_own, percent, links)
+    return [(nodes[a], nodes[b]) for a, b in links.forest.edges]
 
 
 def _meet(n: int, percent: int):
-    """Rows (host, i, j, role, node, text) sorted by all but the last two: yield the links of each meeting."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows (host, i, j, role, node, copies, earlier, text) sorted by the first four.
+
+    Yields the links of each meeting (a, b) as a forest, and for each node the rows it links to (a, null, n).
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        hasher, meeting, nodes, sets, n_own, known, out = WordHasher(), None, [], [], 0, set(), []
+        hasher, meeting, n_own, known, out = WordHasher(), None, 0, set(), []
+        nodes, sets, copies, earlier = [], [], [], []
 
         def close():
             if n_own and len(sets) > 1:
-                out.extend(join_sets(nodes, sets, n_own, percent))
+                links = _Links(np.array(copies, np.int64), earlier)
+                link_sets(sets, n_own, percent, links)
+                out.extend((nodes[a], nodes[b], None) for a, b in links.forest.edges)
+                out.extend((nodes[k], None, int(links.n[k])) for k in np.flatnonzero(links.n))
 
         def batch_of_links():
-            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=schema)
+            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1, 2)], schema=schema)
             out.clear()
             return batch
 
         for batch in batches:
-            for h, i, j, role, node, text in zip(*(values(batch.column(k)) for k in range(6)), strict=True):
+            for h, i, j, role, node, rows, before, text in zip(*(values(batch.column(k)) for k in range(8)), strict=True):
                 if (h, i, j) != meeting:
                     close()
-                    meeting, nodes, sets, n_own, known = (h, i, j), [], [], 0, set()
+                    meeting, n_own, known = (h, i, j), 0, set()
+                    nodes, sets, copies, earlier = [], [], [], []
                 s = shingle_set(hasher(text), n)
                 if node in known or not len(s) or _node(s) != node:  # ids may repeat with other texts
                     continue
                 known.add(node)
                 nodes.append(node)
                 sets.append(s)
+                copies.append(rows)
+                earlier.append(np.array(before or [], np.int64))
                 n_own += role == 0
             if len(out) > 10_000:
                 yield batch_of_links()
@@ -350,11 +385,12 @@ def _meet(n: int, percent: int):
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, component_id`` for every row of ``docs``.
+    """``doc_id, n_shingles, node, component_id, n_links`` for every row of ``docs``.
 
     A-Z is lower-cased; a set is the distinct ``n``-word shingles, the whole sequence for shorter texts.
     Two rows link when ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
-    reachable. Null texts and texts without words have an empty set, no ``node`` and their own id.
+    reachable and ``n_links`` the number of other rows that the row links to directly, rows of the same set
+    included. Null texts and texts without words have an empty set, no ``node``, their own id and no links.
     Equal texts are one node however many rows have them. Rows with a null id take part, but never
     name a component. Sets are compared by 64-bit shingle hashes.
     """
@@ -367,7 +403,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     hot = top.select("node").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
     hot = spark.sparkContext.broadcast(np.ascontiguousarray(hot))
 
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(nodes)
     shingles, docs_in = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(tasks, -(-(shingles * (100 - percent) // 100 + docs_in * MEET) // LIST_ROWS))
@@ -379,25 +415,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     enough = F.least(F.lit(MEET), F.ceil(F.col("size") * (percent * percent) / F.lit(10_000)))
     visits = staged(met.where(F.col("met") * 2 >= enough).select("node", "host"))
     hosts = visits.select(F.col("host").alias("grp")).unionByName(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")).distinct()
-    own = nodes.join(hosts, "grp").select("doc_id", "node", F.col("grp").alias("host"))
-    guests = visits.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "host")
+    own = nodes.join(hosts, "grp").select("doc_id", "node", "copies", F.col("grp").alias("host"))
+    guests = visits.join(nodes.select("node", "doc_id", "copies"), "node").select("doc_id", "node", "copies", "host")
     there = staged(own.unionByName(guests))
     # a meeting of k parts becomes k (k + 1) / 2 tasks
     many = F.count(F.lit(1))
     part = F.least(F.lit(PART_MOST), F.greatest(F.lit(PART_LEAST), many / SPREAD))
     parts = there.groupBy("host").agg(F.ceil(many / part).cast("int").alias("k"))
+    # two sets may meet in several groups: their link counts in the smallest
+    several = there.groupBy("node").agg(F.collect_set("host").alias("hosts")).where(F.size("hosts") > 1)
+    there = there.join(several, "node", "left").withColumn("earlier", F.filter("hosts", lambda h: h < F.col("host"))).drop("hosts")
     dealt = there.join(parts, "host").withColumn("p", F.pmod(F.xxhash64("node"), "k").cast("int"))
     dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("doc_id", "node", "host", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("role"))
+    dealt = dealt.select("doc_id", "node", "copies", "earlier", "host", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("role"))
     # what is wanted grows with the corpus, so this join is never a broadcast
     w = dealt.alias("w").hint("merge")
-    texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "s.text")
-    links = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role").mapInArrow(_meet(n, percent), "a long, b long")
-    roots = connected_components(links)
+    texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "w.copies", "w.earlier", "s.text")
+    links = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role").mapInArrow(_meet(n, percent), "a long, b long, n long")
+    links = staged(links)
+    roots = connected_components(links.where("b is not null").select("a", "b"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
 
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "doc_id", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(smallest, "root").select("node", "component_id"))
-    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id")
-    alone = rows.where("node is null").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"))
+    named = staged(named.join(smallest, "root").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")))
+    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id", "n_links")
+    alone = rows.where("node is null").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
