@@ -44,14 +44,23 @@ def measured(line):
     return F.struct(line.alias("line"), count(WORD).alias("n"), count(NAVIGATION).alias("marks"), count(r"[#*$%&|<>]").alias("symbols"), count(r"!!+").alias("shouts"))
 
 
-def line_fails(m, short_words: int, max_symbol_share: float):
+def boilerplate(m, most_words: int | None):
+    """Whether a phrase stands in a measured line: anywhere, or as words of a line that is short or half made up of phrases."""
+    if most_words is None:
+        return m["line"].rlike("(?i)" + "|".join(BOILERPLATE))
+    phrases = rf"(?i)\b(?:{'|'.join(BOILERPLATE)})\b"
+    rest = F.length(F.regexp_replace(m["line"], phrases, ""))
+    return m["line"].rlike(phrases) & ((m["n"] <= most_words) | (rest * 2 <= F.length(m["line"])))
+
+
+def line_fails(m, short_words: int, max_symbol_share: float, boilerplate_words: int | None = None):
     """Whether a measured line is furniture rather than prose: navigation, boilerplate, or neither a sentence nor long."""
     return (
         ((m["marks"] >= 3) & (m["marks"] * 5 >= m["n"]))
         | (m["symbols"] > F.lit(max_symbol_share) * F.length(m["line"]))
         | (m["shouts"] * 2 > m["n"])
         | ((m["n"] < short_words) & ~m["line"].rlike(TERMINAL))
-        | m["line"].rlike("(?i)" + "|".join(BOILERPLATE))
+        | boilerplate(m, boilerplate_words)
     )
 
 
@@ -62,6 +71,7 @@ def quality_rules(
     short_words: int = 8,
     max_symbol_share: float = 0.1,
     min_kept_share: float = 0.5,
+    boilerplate_words: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -70,7 +80,8 @@ def quality_rules(
     Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed``,
     ``kept`` and ``clean_text`` (the lines that pass, in order) to the columns of ``docs``; columns of
     these names that come with ``docs`` are replaced. A null text counts as having no words: it
-    fails and its ``clean_text`` is empty. Equal rows get equal results and stay separate rows.
+    fails and its ``clean_text`` is empty. A boilerplate phrase removes lines of up to ``boilerplate_words``
+    words and lines that it makes up half of; if None, as the SQL of ``op8`` has it, any line. Equal rows get equal results and stay separate rows.
 
     Repeated 3-word windows are found by sorting 64-bit window hashes with their position packed in
     the low bits; windows that meet there are compared once more by their words, so counts are exact.
@@ -108,7 +119,7 @@ def quality_rules(
         .withColumn("n_dup_lines", F.expr("cast(size(__spoken) - size(array_distinct(__spoken)) as bigint)"))
         .withColumn("n_repeat_words", F.expr("aggregate(transform(__p, (x, k) -> if(k + 1 < size(__p), least(3, __p[k + 1] - x), 3)), 0L, (a, x) -> a + x)"))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
-        .withColumn("__keep", F.transform(F.filter(F.transform("__lines", measured), lambda m: ~line_fails(m, short_words, max_symbol_share)), lambda m: m["line"]))
+        .withColumn("__keep", F.transform(F.filter(F.transform("__lines", measured), lambda m: ~line_fails(m, short_words, max_symbol_share, boilerplate_words)), lambda m: m["line"]))
         .withColumn("clean_text", F.array_join("__keep", "\n"))
         .withColumn("__left", F.expr("aggregate(__keep, 0L, (a, x) -> a + length(x))"))
         .withColumn("__all", F.expr("aggregate(__lines, 0L, (a, x) -> a + length(x))"))

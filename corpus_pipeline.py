@@ -15,11 +15,13 @@ from caseloom.llm.queries import tokenizer_files
 
 #: Below this score a language is not taken as recognised.
 LEAST_SCORE = 0.2
+#: Up to this many words a line with a boilerplate phrase is page furniture; longer ones are prose.
+BOILERPLATE_WORDS = 12
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that passed."""
-    out = quality.quality_rules(docs).where("kept")
+    out = quality.quality_rules(docs, boilerplate_words=BOILERPLATE_WORDS).where("kept")
     clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return out.select(*[clean.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
