@@ -1,22 +1,27 @@
-"""Scoring texts with a weighted backoff automaton learned from the corpus.
-
-The states are the empty history and every word as a history. A state has an arc for each word seen
-after it, and a failure arc to the empty history, where every word has an arc:
-
-    arc(h, w)  = log10 ((1 - b) c(hw) / c(h) + b P(w))      if c(hw) > 0
-    fail(h)    = log10 b, b = weight * c(h) ** -decay; 0 for an unknown history
-    root(w)    = log10 P(w), P(w) = (c(w) - d) / N for known words, d V / N for the unknown one
-
-so that each state's probabilities sum to one. How much a history leaves to its failure arc thus
-falls slowly with how often it was seen. The discount d = n1 / (n1 + 2 n2) comes from the numbers
-of words seen once and twice. A text is read once from left to right; each word takes its arc, or
-the failure arc and then the root's.
-
-The automaton grows with the corpus and is never sent anywhere whole. Documents are dealt into
-blocks. A block counts its words and word pairs and sends each distinct one to the owner of its hash
-range; owners add up and answer with the corpus counts, in the order asked; the block, which has
-stayed where it was shuffled to, then has just the arcs it needs. A frequent word or pair arrives
-once per block, so no key is hot, and every step holds one block or one hash range at a time.
+"""Scoring texts with a weighted backoff automaton of order 3, learned from the corpus.
+
+A state is a history: two words, one word, or nothing. Each history of two words has a failure arc to
+its last word, and each word one to the empty history, where every word has an arc:
+
+    root(w)     = log10 P(w), P(w) = (c(w) - d) / N for known words, d V / N for the unknown one
+    fail(v)     = log10 leave; 0 for a word that is no history
+    arc(v, w)   = log10 P(w|v), P(w|v) = (1 - leave) c(vw) / c(v) + leave P(w), if c(vw) > 0
+    fail(uv)    = log10 b, b = 1 - sum over its arcs of (c(uvw) - D) / c(uv); 0 without arcs
+    arc(uv, w)  = log10 ((c(uvw) - D) / c(uv) + b P(w|v)), if c(uvw) >= least
+
+so the probabilities of each state sum to one. The lower order is Jelinek-Mercer smoothing, the upper
+one absolute discounting with the usual cutoff of word triples seen once; the discounts d and D are
+n1 / (n1 + 2 n2) of the counts of words and of triples. A text is read from left to right: the state
+is carried along, a word takes its arc, or else failure arcs until there is one, and the weights add
+up. As a state is at most two words long, the states that all places of a block are reached in are
+known at once, so the steps of the traversal are taken as arrays.
+
+The automaton grows with the corpus and is nowhere whole. Documents are dealt into blocks. A block
+counts its histories with the words after them and sends each distinct one to the owner of its hash
+range; owners add up and answer with the corpus counts, in the order asked, which are the states and
+arcs that the block needs. A frequent history arrives once a block. Blocks talk to owners through a
+tree of at most ``fan`` branches: an owner inside the tree adds up for its group of blocks and asks
+on, so that messages grow in proportion to the blocks, and what is frequent shrinks on the way.
 """
 
 from __future__ import annotations
@@ -27,128 +32,263 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism
-from .hashing import A, B, WordHasher, mix64
+from .hashing import A, B, WordHasher, mix64, values
 
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: Share that a history seen once leaves to its failure arc, and the power by which it falls.
-WEIGHT, DECAY = 0.95, 0.05
+START, END, AFTER = np.uint64(0x5354415254), np.uint64(0x454E44), np.uint64(0x4146544552)
+#: Share that a word as a history leaves to its failure arc, and the least count of an arc of three words.
+LEAVE, LEAST = 0.8, 2
+#: Branches of the tree of owners.
+FAN = 512
 
 
 def held_out(doc_id, every: int = 7, remainder: int = 2):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(every)) == remainder
 
 
-def _tokens(texts: list[str | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, each closed by END, and their lengths."""
-    parts = [np.append(hasher(t), END) for t in texts]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
+# ---- arrays in messages ----------------------------------------------------------------------------
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed bytes, those of one place together."""
+    flat = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<"), copy=False)).view(np.uint8).reshape(len(x), x.dtype.itemsize)
+    return pa.compress(np.ascontiguousarray(flat.T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unpacked(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(flat.T).view(np.dtype(kind).newbyteorder("<")).reshape(n).astype(kind, copy=False)
 
 
-def _pairs(tok: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """History of each token, and the key of the pair."""
-    prev = np.empty_like(tok)
-    prev[1:] = tok[:-1]
-    prev[np.cumsum(lengths) - lengths] = START
-    return prev, mix64(prev * A + mix64(tok) * B)
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.uint64(0))
 
 
-def _distinct(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and for each key which of them it is."""
     o = np.argsort(keys)
     k = keys[o]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[first], np.add.reduceat(weight[o], first)
-
-
-
-def _edges(parts: int) -> np.ndarray:
-    """Where the hash range of each owner begins."""
-    return np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
-
-
-ASKED = pa.schema([("owner", pa.int64()), ("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())])
-ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int8()), ("counts", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("texts", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
-
-
-def _ask(labels: list[int]):
-    def run(batches):
-        hasher, blocks = WordHasher(), {}
-        for b in batches:
-            for block, train, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                t, w = blocks.setdefault(block, ([], []))
-                t.append(text)
-                w.append(train)
-        for block, (texts, train) in blocks.items():
-            tok, lengths = _tokens(texts, hasher)
-            weight = np.repeat(np.array(train, np.int64), lengths)
-            _, pair = _pairs(tok, lengths)
-            for kind, keys in ((0, tok), (1, pair)):
-                k, c = _distinct(keys, weight)
-                cut = np.r_[0, np.searchsorted(k, _edges(len(labels))), len(k)]
-                for p, owner in enumerate(labels):
-                    s = slice(cut[p], cut[p + 1])
-                    yield pa.RecordBatch.from_pylist(
-                        [{"owner": owner, "part": p, "block": block, "kind": kind, "keys": k[s].astype("<u8").tobytes(), "counts": c[s].astype("<u4").tobytes(), "texts": sum(train) if p == 0 and kind == 0 else 0}],
-                        schema=ASKED,
-                    )
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[o] = np.cumsum(new) - 1
+    return k[new], which
+
+
+def _summed(which: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(which, weights=weight, minlength=n).astype(np.uint64)  # exact below 2**53
+
+
+class Counts:
+    """Distinct histories with the words after them, distinct words, and their counts.
+
+    ``keys`` rise; ``kids`` (32-bit hashes of words) rise within their history, ``of`` says which that is.
+    """
+
+    def __init__(self, keys, of, kids, kid_counts, words, word_counts):
+        self.hist, self.hist_at = _grouped(keys)
+        joint, self.kid_at = _grouped(self.hist_at[of].astype(np.uint64) << np.uint64(32) | kids.astype(np.uint64))
+        self.of, self.kids = (joint >> np.uint64(32)).astype(np.int64), (joint & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.kid_counts = _summed(self.kid_at, kid_counts, len(joint))
+        self.words, self.word_at = _grouped(words)
+        self.word_counts = _summed(self.word_at, word_counts, len(self.words))
+
+    def messages(self, src: int, first: int, parts: int, ranges: int):
+        """One message for each of ``parts`` hash ranges from ``first`` on, of ``ranges`` that there are in all."""
+        begins = np.array([((first + p) << 64) // ranges for p in range(parts)], np.uint64)
+        cut = lambda k: np.r_[0, np.searchsorted(k, begins[1:]), len(k)]
+        h, w = cut(self.hist), cut(self.words)
+        k = np.searchsorted(self.of, h)
+        width = np.bincount(self.of, minlength=len(self.hist)).astype(np.uint32)
+        for p in range(parts):
+            hs, ks, ws = (slice(c[p], c[p + 1]) for c in (h, k, w))
+            sizes = [int(c[p + 1] - c[p]) for c in (h, k, w)]
+            arrays = [_steps(self.hist[hs]), width[hs], self.kids[ks], self.kid_counts[ks], _steps(self.words[ws]), self.word_counts[ws]]
+            yield (first + p, src, *sizes, *map(_packed, arrays))
+
+    @classmethod
+    def merged(cls, asked: pa.Table) -> tuple[Counts, list[tuple[int, int, int, int]]]:
+        """All messages together, and ``(src, histories, kids, words)`` of each of them in turn."""
+        cols, sizes, at = [[] for _ in range(6)], [], 0
+        for batch in asked.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                n, m, w = r["n_hist"], r["n_kids"], r["n_words"]
+                cols[0].append(np.cumsum(_unpacked(r["hist"], n), dtype=np.uint64))
+                cols[1].append(np.repeat(np.arange(at, at + n), _unpacked(r["width"], n, np.uint32)))
+                cols[2].append(_unpacked(r["kids"], m, np.uint32))
+                cols[3].append(_unpacked(r["kid_counts"], m))
+                cols[4].append(np.cumsum(_unpacked(r["words"], w), dtype=np.uint64))
+                cols[5].append(_unpacked(r["word_counts"], w))
+                sizes.append((r["src"], n, m, w))
+                at += n
+        return cls(*map(np.concatenate, cols)), sizes
+
+
+ASKED = pa.schema([("owner", pa.int64()), ("src", pa.int64()), *((c, pa.int64()) for c in ("n_hist", "n_kids", "n_words")), *((c, pa.binary()) for c in ("hist", "width", "kids", "kid_counts", "words", "word_counts"))])
+ASKED_SQL = "owner long, src long, n_hist long, n_kids long, n_words long, hist binary, width binary, kids binary, kid_counts binary, words binary, word_counts binary"
+#: Tokens, known words, words and triples seen once and twice: each owner's share.
+STATS = ("tokens", "types", "once", "twice", "once3", "twice3")
+ANSWER = pa.schema([("src", pa.int64()), ("part", pa.int64()), *((c, pa.int64()) for c in ("n_hist", "n_kids", "n_words")), *((c, pa.binary()) for c in ("kept", "arcs", "kids", "words")), *((c, pa.int64()) for c in STATS), ("seen", pa.binary())])
+ANSWER_SQL = "src long, part long, n_hist long, n_kids long, n_words long, kept binary, arcs binary, kids binary, words binary, " + ", ".join(f"{c} long" for c in STATS) + ", seen binary"
+_AFTER_KID = np.uint32(mix64(np.array([AFTER]))[0] >> np.uint64(32))
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+class Totals:
+    """Corpus counts of what a ``Counts`` holds, in its order: histories ``seen``, the sum of their ``kept`` arcs and how many ``arcs``, ``kids``, ``words``."""
+
+    def __init__(self, seen, kept, arcs, kids, words, stats: dict[str, int]):
+        self.seen, self.kept, self.arcs, self.kids, self.words, self.stats = seen, kept, arcs, kids, words, stats
+
+    @classmethod
+    def of(cls, c: Counts, least: int) -> Totals:
+        """Where the counts are those of the whole corpus."""
+        n, arc = len(c.hist), (c.kid_counts >= least) & (c.kids != _AFTER_KID)
+        real = c.kid_counts[c.kids != _AFTER_KID]
+        count = lambda x, k: int((x == k).sum())
+        stats = dict(zip(STATS, (int(c.word_counts.sum()), int((c.word_counts > 0).sum()), count(c.word_counts, 1), count(c.word_counts, 2), count(real, 1), count(real, 2)), strict=True))
+        return cls(_summed(c.of, c.kid_counts, n), _summed(c.of, c.kid_counts * arc, n), _summed(c.of, arc, n), c.kid_counts, c.word_counts, stats)
+
+    @classmethod
+    def joined(cls, answers: pa.Table) -> Totals:
+        """From the answers of all owners that were asked, in the order of their ranges."""
+        rows = answers.sort_by("part").to_pylist()
+        get = lambda name, n: np.concatenate([_unpacked(r[name], r[n]) for r in rows] or [np.zeros(0, np.uint64)])
+        arrays = [get("seen", "n_hist"), get("kept", "n_hist"), get("arcs", "n_hist"), get("kids", "n_kids"), get("words", "n_words")]
+        return cls(*arrays, {s: sum(r[s] for r in rows) for s in STATS})
+
+    def answers(self, owner: int, c: Counts, sizes: list[tuple[int, int, int, int]]):
+        """To each message its part."""
+        h = k = w = 0
+        for src, n, m, x in sizes:
+            hs, ks, ws = c.hist_at[h : h + n], c.kid_at[k : k + m], c.word_at[w : w + x]
+            h, k, w = h + n, k + m, w + x
+            yield (src, owner, n, m, x, _packed(self.kept[hs]), _packed(self.arcs[hs]), _packed(self.kids[ks]), _packed(self.words[ws]), *(self.stats[s] for s in STATS), _packed(self.seen[hs]))
+
+
+def _answer(least: int):
+    def run(asked: pa.Table) -> pa.Table:
+        c, sizes = Counts.merged(asked)
+        return _table(list(Totals.of(c, least).answers(asked.column("owner")[0].as_py(), c, sizes)), ANSWER)
 
     return run
 
 
-def _answer(batches):
-    asked: dict[tuple[int, int], list] = {}
-    for b in batches:
-        for row in b.to_pylist():
-            asked.setdefault((row["part"], row["kind"]), []).append(row)
-    for (part, kind), rows in asked.items():
-        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-        total_k, total_c = _distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in rows])) if sum(map(len, keys)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        tokens, types = (int(total_c.sum()), int((total_c > 0).sum())) if kind == 0 else (0, 0)
-        once, twice = (int((total_c == x).sum()) if kind == 0 else 0 for x in (1, 2))
-        texts = sum(r["texts"] for r in rows)
-        for r, k in zip(rows, keys, strict=True):
-            got = total_c[np.searchsorted(total_k, k)].astype("<u8").tobytes()
-            yield pa.RecordBatch.from_pylist([{"block": r["block"], "part": part, "kind": kind, "counts": got, "tokens": tokens, "types": types, "texts": texts, "once": once, "twice": twice}], schema=ANSWER)
+def _ask_on(ranges: int, fan: int):
+    """An owner of one of ``ranges`` ranges in its group asks the owners above it, one for each ``fan``-th of its range."""
 
+    def run(asked: pa.Table) -> pa.Table:
+        owner = asked.column("owner")[0].as_py()
+        group, r = divmod(owner, ranges)
+        c, _ = Counts.merged(asked)
+        above = (group // fan) * ranges * fan
+        return _table([(above + part, *rest) for part, *rest in c.messages(owner, r * fan, fan, ranges * fan)], ASKED)
+
+    return run
+
+
+def _pass_on(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    c, sizes = Counts.merged(asked)
+    return _table(list(Totals.joined(answers).answers(asked.column("owner")[0].as_py(), c, sizes)), ANSWER)
+
+
+def exchanged(asked: DataFrame, n: int, levels: int, fan: int, least: int, level: int = 1) -> DataFrame:
+    """Answers to messages that went to ``fan ** level`` hash ranges in each group of ``fan ** level`` blocks."""
+    asked = asked.repartition(n, "owner")
+    if level == levels:
+        return asked.groupBy("owner").applyInArrow(_answer(least), ANSWER_SQL)
+    above = asked.groupBy("owner").applyInArrow(_ask_on(fan**level, fan), ASKED_SQL)
+    answers = exchanged(above, n, levels, fan, least, level + 1)
+    return asked.groupBy("owner").cogroup(answers.groupBy("src")).applyInArrow(_pass_on, ANSWER_SQL)
+
+
+# ---- blocks ------------------------------------------------------------------------------------------
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+class Tape:
+    """The texts of a block, one after another, each closed by END and a place after it.
 
-def traverse(weight: float, decay: float, c_word, c_history, c_pair, tokens: int, types: int, once: int, twice: int):
-    """Weight of each step, from corpus counts."""
-    d = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
-    root = np.where(c_word > 0, c_word - d, d * types) / tokens if tokens else np.ones(len(c_word))
-    seen = np.maximum(c_history, 1)
-    back = np.where(c_history > 0, weight * seen.astype(float) ** -decay, 1.0)
-    arc, fail = (1 - back) * c_pair / seen + back * root, back * root
-    return np.log10(np.where(c_pair > 0, arc, fail))
+    The history at a place is the two words before it; so the history at the next place is the pair
+    of this word and the one before.
+    """
+
+    def __init__(self, texts, train):
+        hasher = WordHasher()
+        parts = [np.r_[hasher(t), END, AFTER] for t in values(texts)]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        tok = np.concatenate(parts)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        weight = np.repeat(np.fromiter(train, np.float64, len(parts)), self.lengths)
+        one, two = np.empty_like(tok), np.empty_like(tok)
+        one[1:], two[2:] = tok[:-1], tok[:-2]
+        one[self.begins], two[self.begins], two[self.begins + 1] = START, START, START
+        self.real = tok != AFTER
+        keys = mix64(two * A + mix64(one) * B)
+        del one, two
+        mixed = mix64(tok)
+        self.counts = Counts(keys, np.arange(len(tok)), (mixed >> np.uint64(32)).astype(np.uint32), weight, mixed[self.real], weight[self.real])
+
+
+def _ask(fan: int):
+    def run(docs: pa.Table) -> pa.Table:
+        block = docs.column("block")[0].as_py()
+        c = Tape(docs.column("text"), docs.column("train").to_pylist()).counts
+        first = block // fan * fan  # owners of a group are numbered after those of the groups before it
+        return _table([(first + part, *rest) for part, *rest in c.messages(block, 0, fan, fan)], ASKED)
+
+    return run
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(weight: float, decay: float):
+def discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def traverse(tape: Tape, t: Totals, leave: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each step, words and ends, and the count of its word: the state at a place, its arc or its failure arcs."""
+    s, c, real = t.stats, tape.counts, tape.real
+    # the state that each place is reached in, and the states one word further on
+    state, here = c.hist_at[real], np.flatnonzero(real)
+    pair = t.seen[c.hist_at[here + 1]].astype(float)
+    c1 = t.words[c.word_at].astype(float)
+    ends = np.cumsum(tape.lengths - 1) - 1
+    last = np.empty_like(c1)  # how often the last word was a history
+    last[1:] = c1[:-1]
+    last[np.r_[0, ends[:-1] + 1]] = c1[ends[0]]  # as many texts begin as end
+    d, tokens = discount(s["once"], s["twice"]), s["tokens"]
+    root = np.where(c1 > 0, c1 - d, d * s["types"]) / tokens if tokens else np.ones(len(c1))
+    fail1 = np.where(last > 0, leave, 1.0)
+    p = (1 - fail1) * pair / np.maximum(last, 1) + fail1 * root
+    big_d = discount(s["once3"], s["twice3"])
+    seen = np.maximum(t.seen, 1).astype(float)
+    fail2 = 1 - (t.kept - big_d * t.arcs) / seen
+    c3 = t.kids[c.kid_at[real]].astype(float)
+    arc = np.where(c3 >= least, (c3 - big_d) / seen[state], 0.0)
+    return np.log10(arc + fail2[state] * p), c1
+
+
+def _score(leave: float, least: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("text").to_pylist()
-        tok, lengths = _tokens(texts, WordHasher())
-        prev, pair = _pairs(tok, lengths)
-        rows = answers.drop_columns(["block"]).to_pylist()
-        counts = {kind: np.concatenate([np.frombuffer(r["counts"], "<u8") for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]).astype(np.int64) for kind in (0, 1)}
-        words = np.unique(tok)
-        tokens, types, starts, once, twice = (sum(r[x] for r in rows if r["kind"] == 0) for x in ("tokens", "types", "texts", "once", "twice"))
-        c_word = counts[0][np.searchsorted(words, tok)]
+        train = docs.column("train").to_pylist()
+        tape, t = Tape(docs.column("text"), train), Totals.joined(answers)
+        step, c1 = traverse(tape, t, leave, least)
+        base = np.log10((c1 + 1.0) / (t.stats["tokens"] + t.stats["types"] + 1.0))
+        lengths = tape.lengths - 1
         begins = np.cumsum(lengths) - lengths
-        c_history = np.empty_like(c_word)
-        c_history[1:] = c_word[:-1]
-        c_history[begins] = starts
-        pairs = np.unique(pair)
-        c_pair = counts[1][np.searchsorted(pairs, pair)]
-        step = traverse(weight, decay, c_word, c_history, c_pair, tokens, types, once, twice)
-        base = np.log10((c_word + 1.0) / (tokens + types + 1.0))
         add = np.add.reduceat
         return pa.table(
             [
                 docs.column("doc_id"),
-                pa.array([not t for t in docs.column("train").to_pylist()]),
+                pa.array([not x for x in train]),
                 pa.array(lengths),
-                pa.array(add((c_word > 0).astype(np.int64), begins)),
-                pa.array(np.full(len(lengths), tokens, np.int64)),
+                pa.array(add((c1 > 0).astype(np.int64), begins)),
+                pa.array(np.full(len(lengths), t.stats["tokens"], np.int64)),
                 pa.array(add(base, begins)),
                 pa.array(add(step, begins)),
             ],
@@ -158,34 +298,35 @@ def _score(weight: float, decay: float):
     return run
 
 
-def labels_for(spark, n: int) -> list[int]:
-    """Numbers that Spark's hash partitioning deals one to each of ``n`` partitions."""
-    found: dict[int, int] = {}
-    start = 0
-    while len(found) < n:
-        for r in spark.range(start, start + 16 * n, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect():
-            found.setdefault(r.p, r.id)
-        start += 16 * n
-    return [found[p] for p in range(n)]
+def tree(n: int, fan: int) -> tuple[int, int]:
+    """Levels and branches of a tree with at least ``n`` owners and at most ``fan`` branches."""
+    levels = 1
+    while fan**levels < n:
+        levels += 1
+    width = 1
+    while width**levels < n:
+        width += 1
+    return levels, width
 
 
-def score_texts(docs: DataFrame, weight: float = WEIGHT, decay: float = DECAY, block_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, leave: float = LEAVE, least: int = LEAST, block_bytes: int = 32 << 20, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text; learn from those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for
-    each row of ``docs``. Null texts count as empty: one token, the end. A null id counts as held
-    in. Equal rows are scored, and learned from, each time. With nothing to learn from every word
-    is unknown. An empty table gives none. There are as many blocks as shuffle partitions, or more
-    where those would exceed ``block_bytes`` of text.
+    each row of ``docs``; its other columns are not kept, whatever their names. Null texts count as
+    empty: one token, the end. A null id counts as held in. Equal rows are scored, and learned from,
+    each time. With nothing to learn from every word is unknown. An empty table gives none. A text is
+    held whole by a task, with its block. There are as many blocks as shuffle partitions, or more
+    where those would exceed ``block_bytes`` of text. Histories are told apart by 64-bit hashes, the
+    words after one history by 32 bits.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     n = max(parallelism(spark), -(-total // block_bytes))
-    labels = labels_for(spark, n)
-    key = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
+    levels, fan = tree(n, max(2, fan))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False))
-    block = F.element_at(F.array(*[F.lit(x) for x in labels]), (key + 1).cast("int")).cast("long")
     blocks = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), (~held).alias("train"), F.col(text_col).alias("text")).repartition(n, "block")
-    asked = blocks.mapInArrow(_ask(labels), "owner long, part int, block long, kind byte, keys binary, counts binary, texts long").repartition(n, "owner")
-    answers = asked.mapInArrow(_answer, "block long, part int, kind byte, counts binary, tokens long, types long, texts long, once long, twice long")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(weight, decay), SCORED)
+    asked = blocks.groupBy("block").applyInArrow(_ask(fan), ASKED_SQL)
+    answers = exchanged(asked, n, levels, fan, least)
+    return blocks.groupBy("block").cogroup(answers.groupBy("src")).applyInArrow(_score(leave, least), SCORED)

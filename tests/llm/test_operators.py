@@ -136,35 +136,86 @@ def test_join_of_nothing(none):
 # ---- LM scoring ----------------------------------------------------------------------------------
 
 
-def test_scores_match_a_plain_automaton(docs, rows):
-    out = lm.score_texts(docs).collect()
+class PlainAutomaton:
+    """States, arcs and failure arcs as dictionaries, walked a word at a time."""
+
+    def __init__(self, texts: list[list]):
+        one, two, three, pairs = (collections.Counter() for _ in range(4))
+        for t in texts:
+            full = ["<s>", "<s>", *t]
+            one.update(t)
+            two.update(zip(full[1:], t))
+            pairs.update(zip(full, full[1:]))
+            three.update(zip(full, full[1:], t))
+        self.one, self.n, self.v = one, sum(one.values()), len(one)
+        some = lambda c, k: sum(x == k for x in c.values())
+        d, big = (lm.discount(some(c, 1), some(c, 2)) for c in (one, three))
+        follows = collections.Counter(u for u, _ in two.elements())
+        kept, left = {}, collections.defaultdict(float)
+        for (u, v, w), c in three.items():
+            if c >= lm.LEAST:
+                kept[u, v, w] = (c - big) / pairs[u, v]
+                left[u, v] += kept[u, v, w]
+        self.unknown = d * self.v / self.n if self.n else 1.0
+        root = {w: (c - d) / self.n for w, c in one.items()}
+        low = {(v, w): (1 - lm.LEAVE) * c / follows[v] + lm.LEAVE * root[w] for (v, w), c in two.items()}
+        p2 = lambda v, w: low.get((v, w)) or (lm.LEAVE if follows[v] else 1.0) * root.get(w, self.unknown)
+        self.arcs = {(): root}
+        self.fail = {}
+        for v in follows:
+            self.arcs[(v,)] = {}
+            self.fail[(v,)] = (lm.LEAVE, ())
+        for (v, w), p in low.items():
+            self.arcs[(v,)][w] = p
+        for u, v in left:
+            self.arcs[u, v] = {}
+            self.fail[u, v] = (1 - left[u, v], (v,))
+        for (u, v, w), x in kept.items():
+            self.arcs[u, v][w] = x + (1 - left[u, v]) * p2(v, w)
+
+    def reach(self, state, w):
+        """Probability of the next word, following failure arcs."""
+        p = 1.0
+        while w not in self.arcs[state] and state:
+            share, state = self.fail[state]
+            p *= share
+        return p * self.arcs[state].get(w, self.unknown)
+
+    def walk(self, t: list) -> float:
+        total, state, past = 0.0, self.longest(["<s>", "<s>"]), ["<s>", "<s>"]
+        for w in t:
+            total += math.log10(self.reach(state, w))
+            past = [past[1], w]
+            state = self.longest(past)
+        return total
+
+    def longest(self, past: list):
+        return next(s for s in (tuple(past), tuple(past[1:]), ()) if s in self.arcs)
+
+
+@pytest.mark.parametrize("fan", [512, 2])
+def test_scores_match_a_plain_automaton(docs, rows, fan):
+    out = lm.score_texts(docs, fan=fan, block_bytes=10_000).collect()
     toks = [(i, [*words(lower(t or "")), None]) for i, t, *_ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, texts = collections.Counter(), collections.Counter(), 0
-    for i, t in toks:
-        if not held(i):
-            texts += 1
-            one.update(t)
-            two.update(zip(["<s>", *t], t))
-    n, v = sum(one.values()), len(one)
-    n1, n2 = (sum(c == x for c in one.values()) for x in (1, 2))
-    d = n1 / (n1 + 2 * n2)
-    p = lambda w: ((one[w] - d) if one[w] else d * v) / n
-    hist = collections.Counter(one)
-    hist["<s>"] = texts
-    back = lambda h: lm.WEIGHT * hist[h] ** -lm.DECAY if hist[h] else 1.0
-    step = lambda h, w: (1 - back(h)) * two[h, w] / max(1, hist[h]) + back(h) * p(w)
-    assert abs(sum(p(w) for w in one) + d * v / n - 1) < 1e-9
-    state = max(one, key=one.get)
-    assert state is None or abs(sum(step(state, w) for w in one) + back(state) * d * v / n - 1) < 1e-9
+    a = PlainAutomaton([t for i, t in toks if not held(i)])
+    assert len([s for s in a.arcs if len(s) == 2]) > 20
+    for state in sorted(a.arcs, key=lambda s: -len(a.arcs[s]))[:3] + [s for s in a.arcs if len(s) == 2][:20]:
+        assert abs(sum(a.reach(state, w) for w in a.one) + a.reach(state, "never seen") - 1) < 1e-9
     want = collections.Counter()
     for i, t in toks:
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10(step(h, w)) for h, w in zip(["<s>", *t], t))
-        want[(i, held(i), len(t), sum(one[w] > 0 for w in t), n, round(base, 5), round(score, 5))] += 1
+        base = sum(math.log10((a.one[w] + 1) / (a.n + a.v + 1)) for w in t)
+        want[(i, held(i), len(t), sum(a.one[w] > 0 for w in t), a.n, round(base, 5), round(a.walk(t), 5))] += 1
     assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in out) == want
 
 
+def test_trees_have_enough_owners():
+    for n in (1, 2, 5, 512, 513, 100_000, 1_600_000):
+        levels, width = lm.tree(n, 512)
+        assert n <= width**levels and width <= 512
+    assert lm.tree(512, 512) == (1, 512) and lm.tree(10, 2) == (4, 2)
+
+
 def test_scores_of_nothing_and_of_untaught_texts(spark, none):
     assert lm.score_texts(none).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
