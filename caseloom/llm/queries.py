@@ -30,7 +30,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same join with the number of rows that each links to directly."""
-    out = setjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    out = setjoin.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90, count_links=True)
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 

@@ -2,16 +2,21 @@
 
 Documents with equal shingle sets are one node. Nodes fall into groups by a pair of minimal
 shingles, so highly similar sets mostly share a group. An index of prefix shingles lists nodes by
-(size, position). A short list is swept in that order, stops at the size bound and skips what its
-positions rule out; prefixes are longer than one common shingle needs, so that a pair must meet in
-``MEET`` lists, which chance passages don't. In a long list no pair is looked at: its members visit
-its largest group. Either way a node only learns which groups to visit, and pairs inside one group
-are never listed. Where a group meets its visitors, sets are held as differences from a pivot set,
-and one set's answers follow from the pivot's: overlap(x, z) = |p| - |p minus x| - |p minus z| +
-shared differences, and sets whose distances to the pivot differ by more than the threshold are
-skipped. A large meeting is dealt into parts, and each pair of parts is a task of its own. Every link is
-verified and counted, in the smallest of the groups where its two sets meet; what comes back is a
-spanning forest and each set's number of links, never all pairs.
+(size, position). A short list is cut into blocks of one size and position; blocks are compared as
+wholes, and where size or position rules two of them out, all their members are skipped at once.
+Prefixes are longer than one common shingle needs, so that a pair must meet in ``MEET`` lists, which
+chance passages don't. In a long list no pair is looked at: its members visit its largest group.
+Either way a node only learns which groups to visit, and pairs inside one group are never listed.
+Where a group meets its visitors, sets are held as differences from a pivot set, and one set's
+answers follow from the pivot's: overlap(x, z) = |p| - |p minus x| - |p minus z| + shared
+differences, and sets whose distances to the pivot differ by more than the threshold are skipped.
+
+For components a meeting that is too large for a task is dealt into parts that all get the same few
+of its sets besides their own: copies of one text come out as one component, and each text was sent
+once. Only sets outside a meeting's largest component are then compared with the rest of it. The
+number of links, where it is asked for, needs each pair of parts to meet: every link is verified and
+counted, in the smallest of the groups where its two sets meet. What comes back is a spanning forest
+and each set's number of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +41,12 @@ OFTEN = 0.0005
 LONG = 64
 #: Index rows that a task sweeps, about.
 LIST_ROWS = 2_000_000
-#: A meeting is dealt into SPREAD parts, of PART_LEAST to PART_MOST sets; a task holds two parts.
-SPREAD, PART_LEAST, PART_MOST = 16, 128, 4096
+#: Most sets and shingles of a part that a meeting is dealt into; a task holds two parts.
+PART, PART_SHINGLES = 1024, 2_000_000
+#: Sets of a meeting that all its parts get, about.
+SHARED = 24
+#: Into how many a join deals the rows of one frequent key.
+SALTS = 64
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
 MEET = 12
 
@@ -61,7 +70,7 @@ def _group(s: np.ndarray) -> int:
 
 def _profile(n: int):
     """Rows for documents (kind 0) and for shingles that a partition holds often (kind 1)."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("size", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("grp", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, often, pending, held = WordHasher(), {}, [], 0
@@ -74,8 +83,8 @@ def _profile(n: int):
             pending.clear()
 
         for batch in batches:
-            ids, out = batch.column(0), ([], [], [])
-            for text in values(batch.column(1)):
+            ids, out = batch.column("doc_id"), ([], [], [])
+            for text in values(batch.column("text")):
                 s = shingle_set(hasher(text), n)
                 out[0].append(_node(s) if len(s) else None)
                 out[1].append(_group(s) if len(s) else None)
@@ -86,13 +95,13 @@ def _profile(n: int):
                 if held > 2_000_000:
                     count()
                     held = 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), ids, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int8)), ids, batch.column("h"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], schema=schema)
         if pending:
             count()
         if often:
             t = np.fromiter(often, np.uint64, len(often)).view(np.int64)
             none = pa.nulls(len(t), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), none, pa.array(t), none, pa.array(list(often.values()), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), none, none, pa.array(t), none, pa.array(list(often.values()), pa.int64())], schema=schema)
 
     return run
 
@@ -149,9 +158,9 @@ def _visits(percent: int):
             return
         tok, node, grp, size, pos = (np.concatenate(c) for c in cols)
         size, pos = size.astype(np.int64), pos.astype(np.int64)
-        o = np.lexsort((pos, node, size, tok))
+        o = np.lexsort((node, pos, size, tok))
         tok, node, grp, size, pos = (x[o] for x in (tok, node, grp, size, pos))
-        fresh = np.r_[True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])]
+        fresh = np.r_[True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])]  # a node has one size and one place for a shingle
         tok, node, grp, size, pos = (x[fresh] for x in (tok, node, grp, size, pos))
         # members that a group has in a list: the larger one plays host
         g = np.lexsort((grp, tok))
@@ -172,19 +181,28 @@ def _visits(percent: int):
         who = np.flatnonzero(go & (grp != largest))
         found = [(list_of[who], who, largest[who], np.full(len(who), MEET))]
 
-        # short lists: pairs that size and position allow
-        i, step = np.flatnonzero(~long), 1
+        # short lists: blocks of one size and position, and the pairs of blocks that these allow
+        new = np.r_[True, (list_of[1:] != list_of[:-1]) | (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])]
+        block = np.flatnonzero(new)
+        many = np.diff(np.r_[block, len(tok)])
+        b_list, b_size, b_pos = list_of[block], size[block], pos[block]
+        i, step = np.flatnonzero(~long[block]), 0
         while len(i):
             j = i + step
-            live = (j < len(tok)) & (list_of[np.minimum(j, len(tok) - 1)] == list_of[i])
+            live = (j < len(block)) & (b_list[np.minimum(j, len(block) - 1)] == b_list[i])
             i, j = i[live], j[live]
-            live = size[i] * 100 >= percent * size[j]  # sizes rise along a list
+            live = b_size[i] * 100 >= percent * b_size[j]  # sizes rise along a list
             i, j = i[live], j[live]
-            most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])  # before, here and after
-            hit = (grp[i] != grp[j]) & (most >= least_overlap(size[i], size[j], percent))
-            a, b = i[hit], j[hit]
-            to_b = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (grp[b] < grp[a]))
-            found.append((list_of[a], np.where(to_b, a, b), np.where(to_b, grp[b], grp[a]), np.ones(len(a), np.int64)))
+            most = np.minimum(b_pos[i], b_pos[j]) + np.minimum(b_size[i] - b_pos[i], b_size[j] - b_pos[j])  # before, here and after
+            hit = (most >= least_overlap(b_size[i], b_size[j], percent)) & ((i != j) | (many[i] > 1))
+            n = many[i[hit]] * many[j[hit]]
+            if n.sum():
+                pair, at = np.repeat(np.flatnonzero(hit), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                a, b = block[i[pair]] + at // many[j[pair]], block[j[pair]] + at % many[j[pair]]
+                apart = (a < b) & (grp[a] != grp[b])
+                a, b = a[apart], b[apart]
+                to_b = (weight[b] > weight[a]) | ((weight[b] == weight[a]) & (grp[b] < grp[a]))
+                found.append((list_of[a], np.where(to_b, a, b), np.where(to_b, grp[b], grp[a]), np.ones(len(a), np.int64)))
             step += 1
 
         at, who, host, count = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -337,9 +355,10 @@ def join_sets(nodes: list[int], sets: list[np.ndarray], n_own: int, percent: int
     return [(nodes[a], nodes[b]) for a, b in links.forest.edges]
 
 
-def _meet(n: int, percent: int):
+def _meet(n: int, percent: int, both: bool):
     """Rows (host, i, j, role, node, copies, earlier, text) sorted by the first four.
 
+    Sets of role 0 meet those of role 1 (in the meetings of ``j`` 0 also each other), or each other if there are none.
     Yields the links of each meeting (a, b) as a forest, and for each node the rows it links to (a, null, n).
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -352,6 +371,8 @@ def _meet(n: int, percent: int):
             if n_own and len(sets) > 1:
                 links = _Links(np.array(copies, np.int64), earlier)
                 link_sets(sets, n_own, percent, links)
+                if both and n_own < len(sets) and meeting[2] == 0:
+                    link_sets(sets[:n_own], n_own, percent, links)
                 out.extend((nodes[a], nodes[b], None) for a, b in links.forest.edges)
                 out.extend((nodes[k], None, int(links.n[k])) for k in np.flatnonzero(links.n))
 
@@ -384,27 +405,78 @@ def _meet(n: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, component_id, n_links`` for every row of ``docs``.
+def _salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join rows of which many may share a key with the one row that a key has in ``one``."""
+    one = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(one, [key, "__salt"], how).drop("__salt")
+
+
+def _parts_of(there: DataFrame) -> DataFrame:
+    """``host, n, k``: meetings that have to be dealt into ``k`` parts."""
+    size = there.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    return size.select("host", "n", F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int").alias("k")).where("k > 1")
+
+
+def _part(k: str = "k"):
+    return F.pmod(F.xxhash64("node"), k).cast("int")
+
+
+ROLES = ("host", "i", "j", "role", "node", "doc_id", "h", "copies", "earlier")
+
+
+def _dealt_once(there: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every set goes to one part of its meeting; about ``SHARED`` of them go to all."""
+    d = _salted(there, parts, "host", "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    shared = (F.col("k") > 1) & (F.pmod(F.xxhash64("host", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(SHARED << 30))
+    every = F.when(shared, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(_part()))
+    return d.withColumn("i", F.explode(every)).withColumns({"j": F.lit(0), "role": F.lit(0), "earlier": F.lit(None).cast("array<long>")}).select(*ROLES)
+
+
+def _dealt_apart(there: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the meetings in parts, sets outside the largest component against all the others."""
+    d = _salted(there, parts, "host", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = d.groupBy("host", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    largest = sizes.groupBy("host").agg(F.max(F.struct("c", "s", "root")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("m.c < c")
+    few = F.greatest((F.col("c") - F.col("m.c")) / PART, (F.col("s") - F.col("m.s")) / PART_SHINGLES)
+    largest = largest.select("host", F.col("m.root").alias("main"), F.ceil(few).cast("int").alias("few"))
+    d = _salted(d, largest, "host", "node")
+    everyone = d.select("*", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), _part().alias("j"), F.lit(1).alias("role"))
+    outside = d.where("root <> main").select("*", _part("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(0).alias("role"))
+    return outside.unionByName(everyone).withColumn("earlier", F.lit(None).cast("array<long>")).select(*ROLES)
+
+
+def _dealt_in_pairs(there: DataFrame, parts: DataFrame) -> DataFrame:
+    """Every part of a meeting meets every other. ``earlier``: smaller groups of a set that meets in several."""
+    several = there.groupBy("node").agg(F.collect_set("host").alias("hosts")).where(F.size("hosts") > 1)
+    there = there.join(several, "node", "left").withColumn("earlier", F.filter("hosts", lambda h: h < F.col("host"))).drop("hosts")
+    d = _salted(there, parts, "host", "node", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("p", _part())
+    d = d.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return d.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q"), "role": (F.col("p") > F.col("q")).cast("int")}).select(*ROLES)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, node, component_id`` for every row of ``docs``, and ``n_links`` if asked for.
 
     A-Z is lower-cased; a set is the distinct ``n``-word shingles, the whole sequence for shorter texts.
     Two rows link when ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
     reachable and ``n_links`` the number of other rows that the row links to directly, rows of the same set
-    included. Null texts and texts without words have an empty set, no ``node``, their own id and no links.
-    Equal texts are one node however many rows have them. Rows with a null id take part, but never
-    name a component. Sets are compared by 64-bit shingle hashes.
+    included. To count links takes time with the square of a group of near copies; components don't. Null texts
+    and texts without words have an empty set, no ``node``, their own id and no links. Equal texts are one node
+    however many rows have them. Rows with a null id take part, but never name a component; rows that share an
+    id and differ in text are nodes of their own. An empty table gives none. Other columns of ``docs`` are not
+    kept, whatever their names. A text is held whole by a task. Sets are compared by 64-bit shingle hashes.
     """
     spark = docs.sparkSession
     tasks = parallelism(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = staged(src.mapInArrow(_profile(n), "kind byte, doc_id long, node long, grp long, size long"))
-    rows = seen.where("kind = 0").select("doc_id", "node", "grp", "size")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    seen = staged(src.mapInArrow(_profile(n), "kind byte, doc_id long, h long, node long, grp long, size long"))
+    rows = seen.where("kind = 0").select("doc_id", "h", "node", "grp", "size")
     top = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "node").limit(HOT)
     hot = top.select("node").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
     hot = spark.sparkContext.broadcast(np.ascontiguousarray(hot))
 
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.count(F.lit(1)).alias("copies"))
-    nodes = staged(nodes)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("h", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("h"), F.min("grp").alias("grp"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"))
+    nodes = staged(nodes)  # one row that has the set speaks for it: id and text
     shingles, docs_in = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(tasks, -(-(shingles * (100 - percent) // 100 + docs_in * MEET) // LIST_ROWS))
 
@@ -415,30 +487,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     enough = F.least(F.lit(MEET), F.ceil(F.col("size") * (percent * percent) / F.lit(10_000)))
     visits = staged(met.where(F.col("met") * 2 >= enough).select("node", "host"))
     hosts = visits.select(F.col("host").alias("grp")).unionByName(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")).distinct()
-    own = nodes.join(hosts, "grp").select("doc_id", "node", "copies", F.col("grp").alias("host"))
-    guests = visits.join(nodes.select("node", "doc_id", "copies"), "node").select("doc_id", "node", "copies", "host")
+    own = nodes.join(hosts, "grp").select("doc_id", "h", "node", "copies", "size", F.col("grp").alias("host"))
+    guests = visits.join(nodes.select("node", "doc_id", "h", "copies", "size"), "node").select("doc_id", "h", "node", "copies", "size", "host")
     there = staged(own.unionByName(guests))
-    # a meeting of k parts becomes k (k + 1) / 2 tasks
-    many = F.count(F.lit(1))
-    part = F.least(F.lit(PART_MOST), F.greatest(F.lit(PART_LEAST), many / SPREAD))
-    parts = there.groupBy("host").agg(F.ceil(many / part).cast("int").alias("k"))
-    # two sets may meet in several groups: their link counts in the smallest
-    several = there.groupBy("node").agg(F.collect_set("host").alias("hosts")).where(F.size("hosts") > 1)
-    there = there.join(several, "node", "left").withColumn("earlier", F.filter("hosts", lambda h: h < F.col("host"))).drop("hosts")
-    dealt = there.join(parts, "host").withColumn("p", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("doc_id", "node", "copies", "earlier", "host", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("role"))
-    # what is wanted grows with the corpus, so this join is never a broadcast
-    w = dealt.alias("w").hint("merge")
-    texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "w.copies", "w.earlier", "s.text")
-    links = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role").mapInArrow(_meet(n, percent), "a long, b long, n long")
-    links = staged(links)
-    roots = connected_components(links.where("b is not null").select("a", "b"))
-    counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-
-    named = nodes.select("node", "doc_id", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.join(smallest, "root").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")))
-    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id", "n_links")
-    alone = rows.where("node is null").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    parts = staged(_parts_of(there))
+
+    def links_of(dealt: DataFrame, both: bool = False) -> DataFrame:
+        # what is wanted grows with the corpus, so this join is never a broadcast
+        w = dealt.alias("w").hint("merge")
+        texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.h") == F.col("s.h"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "w.copies", "w.earlier", "s.text")
+        met = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role")
+        return staged(met.mapInArrow(_meet(n, percent, both), "a long, b long, n long"))
+
+    links = links_of(_dealt_in_pairs(there, parts) if count_links else _dealt_once(there, parts))
+    edges = links.where("b is not null").select("a", "b")
+    roots = connected_components(edges)
+    if not count_links and parts.head(1):
+        apart = links_of(_dealt_apart(there, parts, roots), True)
+        if apart.head(1):
+            more = apart.where("b is not null").select("a", "b")
+            roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    # sets without a link are their own component; only the others are joined by root
+    tied = nodes.select("node", "doc_id").join(roots, "node")
+    tied = staged(tied.unionByName(nodes.select("node", "doc_id").join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node"))))
+    # written first, so that Spark can split the rows of a large component
+    smallest = staged(tied.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    tied = tied.join(smallest.hint("merge"), "root").select("node", "component_id")
+    named = nodes.select("node", "doc_id", "copies").join(tied, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if count_links:
+        counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+        named = named.join(counts, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
+    extra = ["n_links"] if count_links else []
+    named = staged(named.select("node", "component_id", *extra))
+    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id", *extra)
+    alone = rows.where("node is null").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in extra])
     return out.unionByName(alone)

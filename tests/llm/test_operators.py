@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -98,13 +99,39 @@ def test_join_finds_the_same_components(docs, rows, n, percent):
     assert len({k[2] for k in want}) < len({k[0] for k in want})
 
 
-def test_join_with_small_parts_and_lists(docs, rows, monkeypatch):
-    monkeypatch.setattr(setjoin, "PART_LEAST", 6)
+@pytest.mark.parametrize(("shared", "shingles"), [(24, 2_000_000), (0, 2_000_000), (3, 900)])
+def test_join_with_small_parts_and_lists(docs, rows, monkeypatch, shared, shingles):
+    monkeypatch.setattr(setjoin, "PART", 6)
+    monkeypatch.setattr(setjoin, "PART_SHINGLES", shingles)
+    monkeypatch.setattr(setjoin, "SHARED", shared)
     monkeypatch.setattr(setjoin, "LONG", 4)
     out = setjoin.jaccard_components(docs, 3, 80).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_components(rows, 3, 80)
 
 
+def test_large_clusters_send_each_text_once(spark):
+    """Near copies of one text are linked through few shared ones; a second text in between is told apart."""
+    rng = random.Random(4)
+    base, other = ([f"{x}{k}" for k in range(120)] for x in "ab")
+    edit = lambda w, e: " ".join(f"x{rng.randrange(10**9)}" if k in e else x for k, x in enumerate(w))
+    texts = [edit(base, {rng.randrange(120)}) for _ in range(3000)] + [edit(base[:60] + other[60:], {rng.randrange(120)}) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = setjoin.jaccard_components(df, 3, 90).collect()
+    assert {(r.doc_id < 3000, r.component_id) for r in out} == {(True, 0), (False, 3000)}
+    there = spark.range(100_000).select(F.col("id").alias("node"), F.lit(7).alias("host"), F.lit(100).alias("size"), F.col("id").alias("doc_id"), F.col("id").alias("h"), F.lit(1).alias("copies"))
+    parts = setjoin._parts_of(there)
+    assert setjoin._dealt_once(there, parts).count() < 104_000
+    joined = spark.range(100_000).select(F.col("id").alias("node"), F.when(F.col("id") % 1000 == 3, F.col("id")).otherwise(0).alias("root"))
+    assert setjoin._dealt_apart(there, parts, joined).count() < 112_000
+
+
+def test_null_and_repeated_ids_keep_their_texts_apart(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b + " end"), (7, a + " end"), (7, c), (7, c), (8, c + " end")]
+    out = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_components(rows, 3, 90)
+
+
 def test_meeting_links_what_brute_force_links():
     np = pytest.importorskip("numpy")
     rng = np.random.default_rng(2)
