@@ -3,24 +3,27 @@
 K-mers are runs of ``k`` words, numbered by occurrence. For each of ``m`` orders the ``l`` smallest
 occurrence-numbered k-mers are taken, put back in text order, and hashed as a tuple; a slot agrees
 between two texts only if the same k-mers stand in the same order, which makes the share of equal
-slots sensitive to edit distance. The ``m`` orders are rotations of one 63-bit hash order, so one
-sort per text serves all of them. All of it happens inside the row.
+slots sensitive to edit distance. The orders come from ``BASES`` independent hash orders, each begun
+at ``m / BASES`` places of its circle, so that one sort serves several of them and places are so far
+apart that short texts, too, have other k-mers next to each. All of it happens inside the row.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism, words
 
 TOP = "9223372036854775807L"
+#: Independent hash orders; more cost a sort each.
+BASES = 4
+#: Text that a range of ids holds, and the most ranges that there are.
+RANGE_BYTES, RANGES = 64 << 20, 4096
 
 
 def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int = 2, m: int = 64) -> DataFrame:
-    """Add ``out``: an array of ``m`` ints. Texts of fewer than ``k`` words are one k-mer; texts without words get all zeros."""
+    """Add ``out``: an array of ``m`` ints, ``m`` a multiple of ``BASES``. Texts of fewer than ``k`` words are one k-mer; texts without words get all zeros."""
     kmer = ", ".join(f"__w[i + {j}]" for j in range(k))
     df = df.withColumn("__w", words(F.col(text_col))).withColumn("__n", F.size("__w"))
     df = df.withColumn(
@@ -35,22 +38,25 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
     # the occurrence number of a repeated k-mer is found by halving steps back through its run
     occurrence = """if(i = 0 or shiftright(__s[i - 1], __b) <> shiftright(x, __b), 0,
         aggregate(sequence(__b, 0, -1), 0, (r, p) -> if(i - r - shiftleft(1, p) >= 0 and shiftright(__s[greatest(0, i - r - shiftleft(1, p))], __b) = shiftright(x, __b), r + shiftleft(1, p), r)))"""
-    df = df.withColumn(
-        "__e",
-        F.expr(f"""sort_array(transform(__s, (x, i) -> shiftleft(shiftright(xxhash64(__g[cast(x & __m as int) - 1], {occurrence}) & {TOP}, __b), __b) | (x & __m)))"""),
-    )
-    marks = [((1 << 63) // m) * j for j in range(m)]
-    df = df.withColumn("__c", F.expr("array(" + ", ".join(f"{x}L" for x in marks) + ")"))
-    df = df.withColumn("__c", F.expr("transform(__c, x -> shiftleft(shiftright(x, __b), __b))"))
-    # how many hashes lie before a mark, by halving steps
-    df = df.withColumn(
-        "__t",
-        F.expr("""transform(__c, c -> aggregate(sequence(__b, 0, -1), 0,
-            (r, p) -> if(r + shiftleft(1, p) <= __k and __e[least(r + shiftleft(1, p), __k) - 1] < c, r + shiftleft(1, p), r)))"""),
-    )
-    slot = f"""xxhash64(transform(sort_array(transform(sequence(0, least({l}, __k) - 1), t -> __e[(s + t) % __k] & __m)), p -> __g[cast(p as int) - 1]))"""
-    df = df.withColumn(out, F.expr(f"if(__k = 0, array_repeat(0, {m}), transform(__t, s -> cast({slot} & 2147483647L as int)))"))
-    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__e", "__c", "__t")
+    df = df.withColumn("__f", F.expr(f"transform(__s, (x, i) -> xxhash64(__g[cast(x & __m as int) - 1], {occurrence}))"))
+    per = m // BASES
+    marks = [((1 << 63) // per) * j for j in range(per)]
+    df = df.withColumn("__c", F.expr("transform(array(" + ", ".join(f"{x}L" for x in marks) + "), x -> shiftleft(shiftright(x, __b), __b))"))
+    sigs = []
+    for base in range(BASES):
+        of = "y" if base == 0 else f"xxhash64(y, {base}L)"
+        e, t = f"__e{base}", f"__t{base}"
+        df = df.withColumn(e, F.expr(f"sort_array(transform(__f, (y, i) -> shiftleft(shiftright({of} & {TOP}, __b), __b) | (__s[i] & __m)))"))
+        # how many hashes lie before a mark, by halving steps
+        df = df.withColumn(
+            t,
+            F.expr(f"""transform(__c, c -> aggregate(sequence(__b, 0, -1), 0,
+                (r, p) -> if(r + shiftleft(1, p) <= __k and {e}[least(r + shiftleft(1, p), __k) - 1] < c, r + shiftleft(1, p), r)))"""),
+        )
+        slot = f"""xxhash64(transform(sort_array(transform(sequence(0, least({l}, __k) - 1), t -> {e}[(s + t) % __k] & __m)), p -> __g[cast(p as int) - 1]))"""
+        sigs.append(f"transform({t}, s -> cast({slot} & 2147483647L as int))")
+    df = df.withColumn(out, F.expr(f"if(__k = 0, array_repeat(0, {per * BASES}), concat({', '.join(sigs)}))"))
+    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__f", "__c", *[f"__{x}{base}" for x in "et" for base in range(BASES)])
 
 
 def likeness(a: Column, b: Column, m: int = 64) -> Column:
@@ -75,37 +81,54 @@ def fingerprints(docs: DataFrame, k: int = 5, l: int = 2, m: int = 64, id_col: s
     return with_signature(base, "text", "sig", k, l, m)
 
 
-def compare_with_next(docs: DataFrame, k: int = 5, l: int = 2, m: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _at_most(cuts: list[int], key: str, strict: bool) -> Column:
+    """How many of the rising ``cuts`` are below a key, or at most the key, by halving steps."""
+    test = "<" if strict else "<="
+    steps = range(len(cuts).bit_length() - 1, -1, -1)
+    listed = "array(" + ", ".join(f"{c}L" for c in cuts) + ")"
+    return F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (r, p) -> if(r + shiftleft(1, p) <= {len(cuts)} and {listed}[least(r + shiftleft(1, p), {len(cuts)}) - 1] {test} {key}, r + shiftleft(1, p), r))")
+
+
+def in_ranges(docs: DataFrame, cuts: list[int], id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text``, with ``__r``, ``__key`` and ``__u``: ranges rise as ``(__key, __u)`` falls.
+
+    An id that fills several ranges, as null may, is spread over them by a hash of the text.
+    """
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = out.withColumn("__key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("__u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("long"))
+    if not cuts:
+        return out.withColumn("__r", F.lit(0))
+    out = out.withColumns({"__lo": _at_most(cuts, "__key", True), "__hi": _at_most(cuts, "__key", False)})
+    inside = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(F.col("__lo") + 1 + F.shiftright(F.col("__u") * (F.col("__hi") - F.col("__lo")), 30).cast("int"))
+    return out.withColumn("__r", F.lit(len(cuts)) - inside).drop("__lo", "__hi")
+
+
+def compare_with_next(docs: DataFrame, k: int = 5, l: int = 2, m: int = 64, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text, its edited text, and say how alike it is to that and to the next document.
 
-    Next is by descending id (null ids last, equal ids by text), and the first follows the last. Rows
-    are split at quantiles of the id; each range is ordered on its own and only the first row of a
-    range is handed to the range before it, so nothing is ordered in a single task. One shuffle moves
-    texts with their signatures. A table of one row is followed by itself; an empty one gives none.
+    Returns ``doc_id, text, edited_text, sig, edited_sig, near_edited, near_next``; other columns of ``docs``
+    are not kept, whatever their names. Next is by descending id (null ids last, equal ids by a hash of the
+    text, then the text), and the first follows the last. Rows are split at quantiles of the id into ranges
+    of about ``range_bytes``; each range is ordered on its own, spilling if need be, and only the first row
+    of a range is handed to the range before it, so nothing is ordered in a single task. One shuffle moves
+    texts with their signatures. Null texts count as empty; a text is held whole. Repeated rows follow each
+    other. A table of one row is followed by itself; an empty one gives none.
     """
-    spark = docs.sparkSession
-    n = parallelism(spark)
-    cuts = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], F.lit(100 * n))).first()[0]
-    cuts = sorted(set(cuts or []))
-    # range 0 has the largest ids; ranges are found by halving over the cuts
-    low = F.lit(-1) if not cuts else reduce(lambda a, c: c, [F.expr(_range_of(cuts, id_col))])
-    ranged = fingerprints(docs, k, l, m, id_col, text_col).withColumn("__r", F.lit(len(cuts)) - F.coalesce(low, F.lit(0)) if cuts else F.lit(0))
-    order = Window.partitionBy("__r").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    run = ranged.select(
-        "doc_id", "text", "sig", "__r", F.lead(F.struct("text", "sig"), 1).over(order).alias("__next"), F.row_number().over(order).alias("__first")
-    )
-    ids = docs.select(F.col(id_col).alias("doc_id")).withColumn("__r", F.lit(len(cuts)) - F.coalesce(low, F.lit(0)) if cuts else F.lit(0))
-    tops = ids.groupBy("__r").agg(F.max("doc_id").alias("__top"))
-    around = Window.orderBy("__r")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = min(RANGES, max(parallelism(docs.sparkSession), -(-total // range_bytes)))
+    cuts = sorted(docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], F.lit(100 * n))).first()[0] or [])
+    rows = in_ranges(docs, cuts, id_col, text_col)
+    order = Window.partitionBy("__r").orderBy(F.col("__key").desc(), F.col("__u").desc(), F.col("text").desc())
+    ranged = with_signature(rows, "text", "sig", k, l, m)
+    run = ranged.select("doc_id", "text", "sig", "__r", F.lead(F.struct("text", "sig"), 1).over(order).alias("__next"))
+    tops = rows.groupBy("__r").agg(F.max(F.struct("__key", "__u")).alias("__top"))
+    around = Window.orderBy("__r")  # one row a range
     # each range takes the first row of the next one that has rows; the last takes the very first
-    follow = tops.select("__r", "__top", F.lag("__r").over(around).alias("__before"), F.last("__r").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__end"))
-    follow = follow.select("__top", F.col("__r").alias("__own"), F.coalesce("__before", "__end").alias("__r"))
-    heads = (
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("__top")))  # one row a range, so as many as partitions at most
-        .groupBy("__r").agg(F.min("text").alias("text"))
-    )
-    heads = with_signature(heads, "text", "sig", k, l, m).select("__r", F.struct("text", "sig").alias("__head"))
+    follow = tops.select("__top", F.col("__r").alias("__own"), F.coalesce(F.lag("__r").over(around), F.last("__r").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__before"))
+    heads = rows.join(F.broadcast(follow), (F.col("__r") == F.col("__own")) & (F.struct("__key", "__u") == F.col("__top"))).groupBy("__before").agg(F.max("text").alias("text"))
+    heads = with_signature(heads, "text", "sig", k, l, m).select(F.col("__before").alias("__r"), F.struct("text", "sig").alias("__head"))
+    # as many rows as ranges, but with texts: left to Spark's check of its size
     out = run.join(heads, "__r", "left").withColumn("__next", F.coalesce("__next", "__head"))
     out = out.withColumn("edited_text", edited(F.col("text"), F.col("__next.text")))
     out = with_signature(out, "edited_text", "edited_sig", k, l, m)
@@ -114,15 +137,3 @@ def compare_with_next(docs: DataFrame, k: int = 5, l: int = 2, m: int = 64, id_c
         likeness(F.col("sig"), F.col("edited_sig"), m).alias("near_edited"),
         likeness(F.col("sig"), F.col("__next.sig"), m).alias("near_next"),
     )
-
-
-def _range_of(cuts: list, col: str) -> str:
-    """SQL for the number of cuts that are at most a value, by halving."""
-
-    def half(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(`{col}` >= {cuts[mid]}, {half(mid + 1, hi)}, {half(lo, mid)})"
-
-    return f"case when `{col}` is null then 0 else {half(0, len(cuts))} end"

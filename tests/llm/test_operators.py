@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from caseloom.llm import chat, fingerprint, langid, licenses, lm, mixing, packing, quality, setjoin, sharding
@@ -477,9 +478,52 @@ def test_conversations_read_back(spark):
 # ---- fingerprints --------------------------------------------------------------------------------
 
 
-def test_edited_texts_and_equal_fingerprints(docs, rows):
-    out = fingerprint.compare_with_next(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+def spark_hash(*parts):
+    """xxhash64 of strings and of longs, one seeding the next, as an unsigned number."""
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little"), h)
+    return h
+
+
+def plain_signature(text, k=5, l=2, m=64):
+    """Order MinHash by sorting everything anew for every slot."""
+    w = words(text)
+    grams = [spark_hash(*w)] if 0 < len(w) < k else [spark_hash(*w[i : i + k]) for i in range(len(w) - k + 1)]
+    if not grams:
+        return [0] * m
+    seen, own = collections.Counter(), []
+    for g in grams:
+        own.append(xxhash.xxh64_intdigest(seen[g].to_bytes(4, "little"), spark_hash(g)))
+        seen[g] += 1
+    low, top = len(bin(len(grams) + 1)) - 2, (1 << 63) - 1
+    sig = []
+    for base in range(fingerprint.BASES):
+        rank = [((x if base == 0 else spark_hash(x, base)) & top) >> low for x in own]
+        for j in range(m // fingerprint.BASES):
+            mark = ((1 << 63) // (m // fingerprint.BASES) * j) >> low
+            nearest = sorted(range(len(grams)), key=lambda i: (rank[i] < mark, rank[i], i))[:l]
+            sig.append(spark_hash(*[grams[i] for i in sorted(nearest)]) & 0x7FFFFFFF)
+    return sig
+
+
+def test_signatures_match_plain_order_minhash(docs, rows):
+    for r in fingerprint.fingerprints(docs).collect():
+        if len(r.text) < 3000 and "\x1c" not in r.text:
+            assert r.sig == plain_signature(r.text), r.text[:80]
+
+
+def test_short_texts_have_many_different_slots(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(60)], "doc_id long, text string")
+    kinds = [len(set(r.sig)) for r in fingerprint.fingerprints(df).collect()]
+    assert sum(kinds) / len(kinds) > 45
+
+
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_edited_texts_and_equal_fingerprints(docs, rows, size):
+    out = fingerprint.compare_with_next(docs, range_bytes=size).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1] or "") % (1 << 30), r[1] or ""), reverse=True)
     want = collections.Counter()
     for k, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -494,6 +538,18 @@ def test_edited_texts_and_equal_fingerprints(docs, rows):
     assert fingerprint.compare_with_next(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_spread_over_ranges(spark):
+    rows = [(None if k < 400 else 7 if k < 800 else k, f"text {k}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprint.compare_with_next(df, range_bytes=300).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]) % (1 << 30)), reverse=True)
+    follow = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert all(r.edited_text == r.text[: len(r.text) - len(r.text) // 3] + follow[r.text][: len(r.text) // 3] for r in out)
+    cuts = [-(1 << 63)] * 5 + [7] * 5 + [900, 1000]
+    counts = {r["__r"]: r["count"] for r in fingerprint.in_ranges(df, cuts, "doc_id", "text").groupBy("__r").count().collect()}
+    assert max(counts.values()) < 250 and sum(counts.values()) == 1200
+
+
 def test_likeness_follows_order_and_edits(spark):
     base = [f"w{k}" for k in range(300)]
     swapped = base[150:] + base[:150]
