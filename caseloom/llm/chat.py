@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parallelism
+from .hashing import values
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n((?:(?!<\|im_end\|>|<\|im_start\|>).)*)<\|im_end\|>\n", re.S)
@@ -62,7 +63,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 def _format(batches):
     for b in batches:
-        rows = [render(r or "", t or "") for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        rows = [render(r or "", t or "") for r, t in zip(values(b.column(2)), values(b.column(3)), strict=True)]
         loss = [(role == "assistant") for role in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] if x else 0 for r, x in zip(rows, loss, strict=True)], pa.int32()), pa.array([r[2] if x else 0 for r, x in zip(rows, loss, strict=True)], pa.int32())],
@@ -74,7 +75,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, rendered, loss_from, loss_to`` for every turn; a conversation is its turns in order.
 
     The loss mask covers code points ``loss_from`` to ``loss_to`` of ``rendered``: an assistant's text as
-    rendered, nothing for other roles. Null roles and texts count as empty. Nothing is shuffled.
+    rendered, nothing for other roles. Null roles and texts count as empty; texts are rendered whole. Repeated
+    rows are rendered each time, an empty table gives none, and other columns are not kept, whatever
+    their names. Nothing is shuffled.
     """
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(_format, "conv_id long, turn long, rendered string, loss_from int, loss_to int")
 
@@ -94,7 +97,7 @@ def _read_back(batches):
         return batch
 
     for b in batches:
-        for conv, rendered, a, z in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+        for conv, rendered, a, z in zip(*(values(b.column(i)) for i in (0, 2, 3, 4)), strict=True):
             if conv != key:
                 close()
                 key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -112,11 +115,15 @@ def _read_back(batches):
         yield out()
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, part_bytes: int = 64 << 20) -> DataFrame:
     """Per conversation, from rendered text alone: turns, digests of turns and of what the loss mask covers, sizes.
 
-    Turns come by ``turn`` (nulls first), then by what they render to. A conversation is read as a
-    stream, so its length does not matter for memory. Conversations with a null id are one.
+    Turns come by ``turn`` (nulls first), then by what they render to; repeated rows are turns of their
+    own. A conversation is read as a stream, so its length does not matter for memory; a turn is held
+    whole. Conversations with a null id are one. An empty table gives none. There are as many parts as
+    shuffle partitions, or more where those would exceed ``part_bytes`` of text.
     """
-    ordered = formatted.repartition(parallelism(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
+    total = formatted.agg(F.sum(F.octet_length("rendered").cast("long"))).first()[0] or 0
+    n = max(parallelism(formatted.sparkSession), -(-total // part_bytes))
+    ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
     return ordered.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

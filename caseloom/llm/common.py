@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,25 +24,40 @@ def words(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared scratch folder that the cluster names; a temporary one only where none is set."""
+    """The shared scratch folder that the cluster names. Only Spark on one machine may go without."""
+    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-"))
+    return named or sc.getCheckpointDir()
+
+
+_written: dict[str, list[str]] = {}
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared scratch folder and read it again.
 
-    Later reads do not depend on the executors that made it, and columns can still be pruned.
+    Later reads do not depend on the executors that made it, and columns can still be pruned. What is
+    written stays until ``clear_staged``, since results that are read lazily need it.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/caseloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/caseloom-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged, once its results are written; returns how many tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import values
+
 #: Families of common languages by ISO 639-1 code. Others are families of their own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -54,38 +56,60 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 25, seed: int = 7) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent; the last weight is the bias. ``y`` is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, diag = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
-    weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * c
+def fit_svms(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 100_000, seed: int = 7) -> np.ndarray:
+    """Linear support vector machines over the same rows, by dual coordinate descent; the last weight is the bias.
+
+    ``y`` has a column of -1 and 1 for each machine. All machines take a row's step together, on the features that the row has.
+    """
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    has = [np.flatnonzero(row) for row in x]
+    w, alpha, diag = np.zeros((y.shape[1], x.shape[1])), np.zeros(y.shape), (x * x).sum(1)
+    of = np.maximum(1, np.stack([(y < 0).sum(0), (y > 0).sum(0)]))
+    most = np.where(y > 0, len(y) / (2 * of[1]), len(y) / (2 * of[0])) * c
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(5, min(25, steps // len(x)))):
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1
-            new = min(max(alpha[i] - g / diag[i], 0.0), weight[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
+            f = has[i]
+            v = x[i, f]
+            new = np.clip(alpha[i] - (y[i] * (w[:, f] @ v) - 1) / diag[i], 0, most[i])
+            step = (new - alpha[i]) * y[i]
+            alpha[i] = new
+            if len(hit := np.flatnonzero(step)):
+                w[np.ix_(hit, f)] += np.outer(step[hit], v)
     return w
 
 
 class Model:
-    """``families``: names; ``top``: a machine a family; ``pairs``: per family its languages and their machines."""
+    """``families``: names; ``top``: a machine a family; ``pairs``: per family its languages and their machines.
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    ``centres``: the mean vector of each language, and how alike it is to all but the least typical ``odd`` of its rows.
+    """
+
+    def __init__(self, x: np.ndarray, langs: list[str], odd: float = 0.02):
         fam = np.array([family_of(lang) for lang in langs])
         langs = np.array(langs)
         self.families = sorted(set(fam))
-        self.top = np.stack([fit_svm(x, np.where(fam == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else None
-        self.pairs = {}
+        self.top = fit_svms(x, np.stack([np.where(fam == f, 1, -1) for f in self.families], axis=1)) if len(self.families) > 1 else None
+        self.pairs, self.centres = {}, {}
         for f in self.families:
             names = sorted(set(langs[fam == f]))
-            rows = [(i, j, fit_svm(x[(langs == a) | (langs == b)], np.where(langs[(langs == a) | (langs == b)] == a, 1, -1))) for (i, a), (j, b) in combinations(enumerate(names), 2)]
+            rows = []
+            for (i, a), (j, b) in combinations(enumerate(names), 2):
+                both = (langs == a) | (langs == b)
+                rows.append((i, j, fit_svms(x[both], np.where(langs[both] == a, 1, -1)[:, None])[0]))
             self.pairs[f] = (names, rows)
+            for a in names:
+                mean = x[langs == a].mean(0)
+                mean /= max(float(np.linalg.norm(mean)), 1e-9)
+                self.centres[a] = (mean, max(float(np.quantile(x[langs == a] @ mean, odd)), 1e-9))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
-        x = np.append(x, np.float32(1))
+        """Language and score: how sure the machines are, less where the text is unlike the language's rows."""
+        lang, sure = self._discriminate(np.append(x, np.float32(1)))
+        mean, usual = self.centres[lang]
+        return lang, sure * min(1.0, float(x @ mean) / usual)
+
+    def _discriminate(self, x: np.ndarray) -> tuple[str, float]:
         sure, f = 1.0, self.families[0]
         if self.top is not None:
             m = self.top @ x
@@ -109,50 +133,58 @@ def held_out(doc_id, every: int = 4, remainder: int = 2):
 
 
 def _vectors(batches):
+    """Feature vectors of texts with a letter; a text that a task meets again under one label counts once."""
+    seen = set()
     for b in batches:
-        texts = b.column(1).to_pylist()
-        keep = [i for i, t in enumerate(texts) if has_letter(t)]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([features(texts[i]).astype("<f4").tobytes() for i in keep], pa.binary())], names=["lang", "x"])
+        out = ([], [], [])
+        for lang, key, text in zip(values(b.column(0)), values(b.column(1)), values(b.column(2)), strict=True):
+            if (lang, key) not in seen and has_letter(text):
+                seen.add((lang, key))
+                for k, v in enumerate((lang, key, features(text).astype("<f4").tobytes())):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["lang", "key", "x"])
 
 
-def fit(docs: DataFrame, per_language: int = 300, languages: int = 200, sample: int = 4000, seed: int = 5) -> Model | None:
-    """Fit on about ``per_language`` labelled rows of each of the ``languages`` most frequent ones.
+def fit(docs: DataFrame, per_language: int = 300, sample: int = 4000, least: int = 16, seed: int = 5) -> Model | None:
+    """Fit on a bounded sample: about ``per_language`` labelled texts of each language, fewer where ``sample`` would be exceeded.
 
-    There are fewer a language where ``sample`` rows would be exceeded, which bounds what reaches the driver (16 KB a
-    row, twice ``sample`` rows at the very most) whatever the corpus size. Rows are drawn by a hash of the
-    id. None if no row is labelled.
+    However many languages there are, each has about ``least`` texts, or all it has. A vector is 16 KB, so about
+    64 MB reach the driver, or 256 KB a language. Rows are drawn by a hash of id and text; equal rows count once.
+    None if no labelled row has a letter.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not counts:
-        return None
-    per_language = max(1, min(per_language, sample // len(counts)))
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r.n))) for r in counts], F.lit(0.0))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
-    rows = labelled.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, x binary").limit(2 * sample).collect()
-    rows = sorted((r.lang, bytes(r.x)) for r in rows)
+    labelled = labelled.select("lang", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    langs = max(1, counts.count())
+    per_language = max(least, min(per_language, sample // langs))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(1.1 * per_language) / F.col("n")).alias("share"))  # counts are right to a few per cent
+    draw = F.pmod("key", F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
+    # labels are few beside rows; Spark broadcasts them if they are small enough
+    drawn = labelled.join(share, "lang").where(draw).select("lang", "key", "text").mapInArrow(_vectors, "lang string, key long, x binary")
+    rows = sorted((r.lang, r.key, bytes(r.x)) for r in drawn.dropDuplicates(["lang", "key"]).collect())
     if not rows:
         return None
-    return Model(np.stack([np.frombuffer(x, "<f4") for _, x in rows]), [lang for lang, _ in rows])
+    return Model(np.stack([np.frombuffer(x, "<f4") for *_, x in rows]), [lang for lang, *_ in rows])
 
 
-def _classify(model: Model | None):
+def _classify(model: Model | None, at: int):
     def run(batches):
         for b in batches:
-            got = [model.predict(features(t)) if model and has_letter(t) else (UNKNOWN, 0.0) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *b.columns[2:]], names=["text_id", "lang_pred", "score", *b.schema.names[2:]])
+            got = [model.predict(features(t)) if model and has_letter(t) else (UNKNOWN, 0.0) for t in values(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Every row's columns with ``lang_pred`` and ``score`` (0 to 1); columns of these names are replaced.
 
-    Only the text is looked at. Null texts and texts without a letter are ``und`` with score 0; so is
-    everything when there was no labelled row to learn from. There is no shuffle.
+    Only the text is looked at, whole, one at a time. Null texts and texts without a letter are ``und`` with
+    score 0; so is everything when there was no labelled row to learn from. A score is low where the machines
+    are unsure and where the text is unlike all that was learned. Equal texts get equal results, and repeated
+    rows stay; an empty table gives none. There is no shuffle.
     """
-    cols = [c for c in docs.columns if c not in ("lang_pred", "score", "text_id")]
-    rest = [f for f in docs.select(*cols).schema.fields]
-    schema = "text_id int, lang_pred string, score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    out = docs.select(F.lit(0).alias("text_id"), F.col("text").alias("__text"), *cols).mapInArrow(_classify(model), schema)
-    return out.select(*cols, "lang_pred", "score")
+    cols = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rest = docs.select(*[F.col(f"`{c}`") for c in cols])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), "lang_pred string, score double"])
+    return rest.mapInArrow(_classify(model, cols.index(text_col)), schema)

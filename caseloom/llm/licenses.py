@@ -21,12 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import A, WordHasher, mix64, windows
+from .hashing import A, WordHasher, mix64, values, windows
 from .license_texts import LONG, SHORT
 
 TEMPLATES = SHORT + LONG
 N = 5
-LIMIT = 10_000
 
 _AROUND = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
@@ -119,7 +118,7 @@ def _scan(templates, share: float):
     def run(batches):
         scanner = Scanner(templates, share)
         for b in batches:
-            rows = [(i, *m) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in scanner.scan(text)]
+            rows = [(i, *m) for i, text in zip(values(b.column(0)), values(b.column(1)), strict=True) for m in scanner.scan(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return run
@@ -128,11 +127,11 @@ def _scan(templates, share: float):
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches ``doc_id, template, start_word, n_words, containment``; documents without any give no row.
 
-    ``templates``: (name, text) pairs, at most 10,000 since every task gets them all. A-Z is
-    lower-cased and punctuation around words does not count. Null and empty texts match nothing; equal
-    rows match each on its own; a repeated passage matches at each place. There is no shuffle.
+    ``templates``: (name, text) pairs, a stated list that every task gets whole. A-Z is lower-cased and
+    punctuation around words does not count. Null and empty texts match nothing, an empty table gives
+    none; equal rows match each on its own; a repeated passage matches at each place. Of equally good windows
+    the first counts. Texts are read whole, one at a time; other columns of ``docs`` are not kept,
+    whatever their names. There is no shuffle.
     """
     templates = tuple(templates)
-    if len(templates) > LIMIT:
-        raise ValueError(f"at most {LIMIT} templates")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(templates, share), "doc_id long, template string, start_word long, n_words long, containment double")

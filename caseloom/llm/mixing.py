@@ -104,6 +104,7 @@ def mix(
     A source's pieces sum to its target rounded down; no row is read more than ``times`` times.
     Order depends on content and seed only. Null sources form a source of their own; null or
     empty texts have size 0 and no pieces; equal rows are rows of their own; an empty table gives none.
+    Very long texts are cut into pieces of many blocks. Other columns of ``docs`` are not looked at.
     """
     spark = docs.sparkSession
     text, key = F.col(text_col), F.col(id_col)
@@ -146,7 +147,8 @@ def mixed_documents(docs: DataFrame, rows: DataFrame, pieces: DataFrame, seed: i
     """The mix as rows of ``docs``: one for each reading of a row, with the text that is taken from it.
 
     A reading that the target cuts short (one a source at most) has the words taken, single-spaced.
-    Rows equal in id and text are told apart by number, so each meets its own readings once.
+    Rows equal in id and text are told apart by number, so each meets its own readings once. The columns
+    are those of ``docs``; names that begin with two underscores are the operator's own.
     """
     cols, same = docs.columns, ["__id", "__h"]
     reads = pieces.groupBy("uid", "pass").agg(F.min("start").alias("__start"), F.sum("words").alias("__words"))

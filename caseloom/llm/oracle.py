@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOILERPLATE, NAVIGATION, TERMINAL
+from .quality import BOILERPLATE_WORDS, NAVIGATION, PHRASE, TERMINAL
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,7 +29,7 @@ g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k] || ' ' || w[k +
 r AS (SELECT doc_id, count(DISTINCT k + j) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) v(j) WHERE c > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 m AS (SELECT doc_id, l, length(l) AS chars, len(regexp_extract_all(l, '{_WORD}')) AS n, len(regexp_extract_all(l, {_text(NAVIGATION)})) AS marks, len(regexp_extract_all(l, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(l, '!!+')) AS shouts FROM l),
-f AS (SELECT *, (marks >= 3 AND marks * 5 >= n) OR symbols > CAST(0.1 AS DOUBLE) * chars OR shouts * 2 > n OR (NOT regexp_matches(l, {_text(TERMINAL)}) AND n < 8) OR regexp_matches(l, {_text("(?i)" + "|".join(BOILERPLATE))}) AS fails FROM m),
+f AS (SELECT *, (marks >= 3 AND marks * 5 >= n) OR symbols > CAST(0.1 AS DOUBLE) * chars OR shouts * 2 > n OR (NOT regexp_matches(l, {_text(TERMINAL)}) AND n < 8) OR (regexp_matches(l, {_text("(?i)" + PHRASE)}) AND (n <= {BOILERPLATE_WORDS} OR 2 * length(regexp_replace(l, {_text("(?i)" + PHRASE)}, '', 'g')) <= chars)) AS fails FROM m),
 x AS (SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS n_dup_lines, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars, sum(chars) AS all_chars FROM f GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, kept_chars, all_chars

@@ -7,6 +7,7 @@ sequences have no padding and never cross documents.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import values
+
 END_OF_TEXT = 1
 #: Texts with other characters go through the tokenizer whole: libraries may class those differently.
 PLAIN = r"[^\t\n\r\x20-\x7e -ɏ‐-‧‰-⁞]"
@@ -27,10 +30,19 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def merges_by_id(path: str) -> bool:
+    """Whether the ids of merged tokens rise with their merges, so that an id can stand for a merge's rank."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    return not model.get("ignore_merges") and all(x < y for x, y in zip([-1, *ids], ids, strict=False))
+
+
 class FastTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library.
 
-    In such a file a token's id is its merge rank, so the faster library gives the same ids for the same
+    Where a token's id rises with its merge, which is checked, the faster library gives the same ids for the same
     pattern. Texts with special tokens, or with characters that the two may class differently, go to the
     library that the file belongs to.
     """
@@ -43,14 +55,17 @@ class FastTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         byte = _bytes_of()
-        ranks = {bytes(byte[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in special}
-        self.fast = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.fast = None
+        if merges_by_id(path):
+            ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+            self.fast = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special, self.odd = special, regex.compile(PLAIN).search
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.odd(text) or any(s in text for s in self.special):
+        if self.fast is None or self.odd(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
@@ -86,7 +101,7 @@ def _pack(path: str, pattern: str, cap: int):
 
         size = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(values(b.column(0)), values(b.column(1)), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END_OF_TEXT)).astype("<u4")
                 at = 0
                 for length in decompose(len(ids), cap):
@@ -109,8 +124,9 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, cap: int = 2048, id_col:
 
     ``tokenizer`` is the path of a byte-level BPE in the tokenizers library's JSON, the same on every
     executor, and ``pattern`` its pre-token pattern. ``cap`` must be a power of two. A null text counts
-    as empty: one piece with the closing id. Equal rows are packed each time. ``sequence_id`` is unique,
-    ``offset`` is 0 because a sequence is one piece. There is no shuffle; a document is held whole.
+    as empty: one piece with the closing id. Equal rows are packed each time; an empty table gives none. Other
+    columns of ``docs`` are not kept, whatever their names. ``sequence_id`` is unique, ``offset`` is 0 because a
+    sequence is one piece. There is no shuffle; a document is held whole. ``write_buckets`` puts equal lengths together.
     """
     if cap < 1 or cap & (cap - 1):
         raise ValueError("cap must be a power of two")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, words
 
-#: Fixed phrases of page furniture, matched in any case.
+#: Fixed phrases of page furniture in English, German, French and Spanish, matched in any case as whole words.
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -31,7 +31,39 @@ BOILERPLATE = (
     "subscribe to",
     "terms of service",
     "terms of use",
+    "alle cookies akzeptieren",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "folgen sie uns",
+    "hier klicken",
+    "jetzt anmelden",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "weiterlesen",
+    "zum inhalt springen",
+    "accepter tous les cookies",
+    "aller au contenu",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "lire la suite",
+    "politique de confidentialité",
+    "se connecter",
+    "suivez-nous",
+    "tous droits réservés",
+    "aceptar todas las cookies",
+    "condiciones de uso",
+    "haga clic aquí",
+    "iniciar sesión",
+    "leer más",
+    "política de privacidad",
+    "saltar al contenido",
+    "síguenos",
+    "todos los derechos reservados",
 )
+#: Up to this many words a line with such a phrase is page furniture; longer ones are prose, unless phrases make up half.
+BOILERPLATE_WORDS = 12
+#: A phrase with what stands around it; without flags, since engines spell those differently.
+PHRASE = r"(?:^|[^\p{L}])(?:" + "|".join(BOILERPLATE) + r")(?:[^\p{L}]|$)"
 #: What a sentence may end with, closing quotes and brackets included.
 TERMINAL = r"[.!?:;…。！？\"'”’»)\]]\s*$"
 #: Marks that separate the entries of a menu or a breadcrumb trail.
@@ -44,16 +76,14 @@ def measured(line):
     return F.struct(line.alias("line"), count(WORD).alias("n"), count(NAVIGATION).alias("marks"), count(r"[#*$%&|<>]").alias("symbols"), count(r"!!+").alias("shouts"))
 
 
-def boilerplate(m, most_words: int | None):
-    """Whether a phrase stands in a measured line: anywhere, or as words of a line that is short or half made up of phrases."""
-    if most_words is None:
-        return m["line"].rlike("(?i)" + "|".join(BOILERPLATE))
-    phrases = rf"(?i)\b(?:{'|'.join(BOILERPLATE)})\b"
-    rest = F.length(F.regexp_replace(m["line"], phrases, ""))
-    return m["line"].rlike(phrases) & ((m["n"] <= most_words) | (rest * 2 <= F.length(m["line"])))
+def boilerplate(m, most_words: int):
+    """Whether a phrase stands in a measured line that is short or half made up of phrases."""
+    phrase = "(?iu)" + PHRASE
+    rest = F.length(F.regexp_replace(m["line"], phrase, ""))
+    return m["line"].rlike(phrase) & ((m["n"] <= most_words) | (rest * 2 <= F.length(m["line"])))
 
 
-def line_fails(m, short_words: int, max_symbol_share: float, boilerplate_words: int | None = None):
+def line_fails(m, short_words: int, max_symbol_share: float, boilerplate_words: int = BOILERPLATE_WORDS):
     """Whether a measured line is furniture rather than prose: navigation, boilerplate, or neither a sentence nor long."""
     return (
         ((m["marks"] >= 3) & (m["marks"] * 5 >= m["n"]))
@@ -71,7 +101,7 @@ def quality_rules(
     short_words: int = 8,
     max_symbol_share: float = 0.1,
     min_kept_share: float = 0.5,
-    boilerplate_words: int | None = None,
+    boilerplate_words: int = BOILERPLATE_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -81,7 +111,8 @@ def quality_rules(
     ``kept`` and ``clean_text`` (the lines that pass, in order) to the columns of ``docs``; columns of
     these names that come with ``docs`` are replaced. A null text counts as having no words: it
     fails and its ``clean_text`` is empty. A boilerplate phrase removes lines of up to ``boilerplate_words``
-    words and lines that it makes up half of; if None, as the SQL of ``op8`` has it, any line. Equal rows get equal results and stay separate rows.
+    words and lines that such phrases make up half of. Equal rows get equal results and stay separate
+    rows; an empty table gives none. A text is held whole.
 
     Repeated 3-word windows are found by sorting 64-bit window hashes with their position packed in
     the low bits; windows that meet there are compared once more by their words, so counts are exact.

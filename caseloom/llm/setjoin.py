@@ -455,13 +455,14 @@ def _dealt_in_pairs(there: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, component_id`` for every row of ``docs``, and ``n_links`` if asked for.
+    """``doc_id, text_hash, n_shingles, node, root, component_id`` for every row of ``docs``, and ``n_links`` if asked for.
 
     A-Z is lower-cased; a set is the distinct ``n``-word shingles, the whole sequence for shorter texts.
     Two rows link when ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
     reachable and ``n_links`` the number of other rows that the row links to directly, rows of the same set
     included. To count links takes time with the square of a group of near copies; components don't. Null texts
-    and texts without words have an empty set, no ``node``, their own id and no links. Equal texts are one node
+    and texts without words have an empty set, no ``node``, their own id and no links. ``root`` tells components apart
+    where ids don't, as when they are null; ``text_hash`` is Spark's xxhash64 of the text. Equal texts are one node
     however many rows have them. Rows with a null id take part, but never name a component; rows that share an
     id and differ in text are nodes of their own. An empty table gives none. Other columns of ``docs`` are not
     kept, whatever their names. A text is held whole by a task. Sets are compared by 64-bit shingle hashes.
@@ -513,13 +514,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_lin
     tied = staged(tied.unionByName(nodes.select("node", "doc_id").join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node"))))
     # written first, so that Spark can split the rows of a large component
     smallest = staged(tied.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    tied = tied.join(smallest.hint("merge"), "root").select("node", "component_id")
-    named = nodes.select("node", "doc_id", "copies").join(tied, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    tied = tied.join(smallest.hint("merge"), "root").select("node", "root", "component_id")
+    named = nodes.select("node", "doc_id", "copies").join(tied, "node", "left")
+    named = named.withColumns({"component_id": F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")), "root": F.coalesce("root", "node")})
     if count_links:
         counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
         named = named.join(counts, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)))
     extra = ["n_links"] if count_links else []
-    named = staged(named.select("node", "component_id", *extra))
-    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id", *extra)
-    alone = rows.where("node is null").select("doc_id", F.col("size").alias("n_shingles"), "node", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in extra])
+    named = staged(named.select("node", "root", "component_id", *extra))
+    out = rows.where("node is not null").join(named, "node").select("doc_id", F.col("h").alias("text_hash"), F.col("size").alias("n_shingles"), "node", "root", "component_id", *extra)
+    alone = rows.where("node is null").select("doc_id", F.col("h").alias("text_hash"), F.col("size").alias("n_shingles"), "node", F.col("node").alias("root"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in extra])
     return out.unionByName(alone)

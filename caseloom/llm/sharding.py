@@ -41,7 +41,8 @@ def shuffle_into_shards(
     most. ``key``: the shard follows from the id and the number of shards alone; ``grown_shard`` is
     the one it would have with one shard more (null under ``rows``). The order depends on seed,
     bucket size and content, not on the cluster. Input columns called ``shard, slot, law,
-    grown_shard`` are replaced. Null ids and texts are ordinary values; an empty table gives none.
+    grown_shard`` are replaced. Null ids and texts are ordinary values; an empty table gives none. Equal
+    rows each have a slot of their own. A bucket, and so a text, is held whole by a task.
     Columns of map type can't be ordered and are not supported.
     """
     if law not in LAWS:

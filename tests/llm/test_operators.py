@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import json
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from caseloom.llm import chat, fingerprint, langid, licenses, lm, mixing, packing, quality, setjoin, sharding
+from caseloom.llm import chat, common, fingerprint, langid, licenses, lm, mixing, packing, quality, queries, setjoin, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +63,16 @@ def test_shards_of_nothing(none):
     assert sharding.shuffle_into_shards(none).count() == 0
 
 
+# ---- scratch tables ------------------------------------------------------------------------------
+
+
+def test_staged_tables_can_be_cleared(spark):
+    kept = common.staged(spark.range(5))
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.exists(path)
+    assert common.clear_staged(spark) > 0 and not os.path.exists(path) and common.clear_staged(spark) == 0
+
+
 # ---- n-gram Jaccard join -------------------------------------------------------------------------
 
 
@@ -379,6 +391,31 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_no_language_is_left_out(spark):
+    """Many more labels than the sample has rows for: each is learned; repeated rows don't flood the sample."""
+    rng = random.Random(2)
+    vocab = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(8)] for k in range(220)}
+    rows = [(k, " ".join(rng.choices(vocab[g], k=25)), g) for k, g in enumerate(list(vocab) * 3)]
+    rows += [(None, "the same row again and again", "l000")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.fit(df, sample=200, least=4)
+    taught = {g for k, _, g in rows if k is None or zlib.crc32(str(k).encode()) % 4 != 2}
+    assert set(model.families) == taught and len(taught) > 180
+    out = langid.identify(df.where("doc_id is not null"), model).collect()
+    out = [r for r in out if r.lang in taught]
+    assert sum(r.lang == r.lang_pred for r in out) > 0.97 * len(out) > 500
+
+
+def test_unlike_texts_score_low(spark):
+    rng = random.Random(1)
+    vocab = {"en": "the of and in house tree with a stone by", "de": "der die und nicht haus baum mit ein stein bei"}
+    rows = [(k, " ".join(rng.choices(vocab[g].split(), k=60)), g) for k, g in enumerate(list(vocab) * 60)]
+    odd = [(900, "mieleni minun tekevi aivoni ajattelevi laulamahan saaani sanelemahan " * 4, None), (901, "qwx zkj vvb pql xxk jjq wvz " * 9, "en")]
+    df = spark.createDataFrame(rows + odd + odd, "doc_id long, text string, lang string")
+    out = langid.identify(df, langid.fit(df.where("doc_id < 900"))).collect()
+    assert len(out) == 124 and min(r.score for r in out if r.doc_id < 900) > 0.5 and max(r.score for r in out if r.doc_id >= 900) < 0.4
+
+
 def test_language_without_labels(docs, none):
     assert langid.identify(none, langid.fit(none)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
@@ -409,6 +446,26 @@ def test_pieces_are_the_tokens_cut_to_powers_of_two(docs, rows):
         packing.pack(docs, file, PATTERN, cap=100)
 
 
+def test_ranks_are_taken_for_ids_only_where_they_are(tmp_path):
+    model = {"vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}, "merges": [["a", "b"], ["ab", "c"]]}
+    for merges, ok in ((model["merges"], True), (["a b", "ab c"], True), (model["merges"][::-1], False), ([["a", "c"]], False)):
+        (tmp_path / "t.json").write_text(json.dumps({"model": model | {"merges": merges}}))
+        assert packing.merges_by_id(str(tmp_path / "t.json")) == ok
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    pieces = packing.pack(spark.createDataFrame([(k, "some words here " * k) for k in range(20)], "doc_id long, text string"), *queries.tokenizer_files(), cap=16)
+    packing.write_buckets(pieces, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == pieces.count() and {p.name for p in (tmp_path / "out").glob("length=*")} == {f"length={1 << k}" for k in range(5)}
+    assert back.where("size(ids) <> length").count() == 0
+
+
+def test_shards_are_written_by_number(docs, tmp_path):
+    sharding.write_shards(sharding.shuffle_into_shards(docs, 3).select("doc_id", "text", "shard", "slot"), f"{tmp_path}/out")
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} == {"shard=0", "shard=1", "shard=2"}
+
+
 def test_packing_nothing(none):
     from public_tokenizers import PATTERN, path
 

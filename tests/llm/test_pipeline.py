@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain versions."""
 
 import collections
+import random
 import zlib
 
 import pytest
@@ -13,8 +14,6 @@ from caseloom.llm.common import table
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     where = tmp_path_factory.mktemp("tables")
-    import random
-
     rng = random.Random(3)
     vocab = {"en": "the of and in house tree with stone water field", "de": "der die und nicht straße baum mit stein wasser feld"}
     line = lambda g, n: " ".join(rng.choices(vocab[g].split(), k=3) + [f"n{rng.randrange(10**6)}" for _ in range(n)]) + "."
@@ -54,6 +53,33 @@ def test_stages(spark, sf_dir):
     assert packed.where("start = 0").count() == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids, copies and near copies, against plain Python."""
+    rng = random.Random(6)
+    t = [[f"{x}{k}" for k in range(80)] for x in "abcdef"]
+    near = lambda w, k: " ".join([*w[:-k], *(f"x{rng.randrange(10**6)}" for _ in range(k))])
+    rows = [(1, " ".join(t[0])), (None, " ".join(t[0])), (None, near(t[0], 2)), (2, " ".join(t[1])), (2, " ".join(t[0])), (None, " ".join(t[2])), (None, " ".join(t[2])), (None, near(t[2], 1))]
+    rows += [(5, " ".join(t[3])), (5, " ".join(t[4])), (5, near(t[4], 2)), (6, " ".join(t[5])), (6, " ".join(t[5])), (7, None), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, x, "en", f"s{k}", 0) for k, (i, x) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.duplicates_stage(spark, df, "").collect()]
+    grams = lambda x: {tuple(w[k : k + 5]) for w in [(x or "").split()] for k in range(len(w) - 4)}
+    alike = lambda a, b: bool(grams(a)) and 100 * len(grams(a) & grams(b)) >= 80 * len(grams(a) | grams(b))
+    assert collections.Counter(r for r in out if not grams(r[1])) == collections.Counter(r for r in rows if not grams(r[1]))
+    kept = [x for _, x in out if grams(x)]
+    assert not any(alike(a, b) for k, a in enumerate(kept) for b in kept[:k]) and all(any(alike(x, y) for y in kept) for _, x in rows if grams(x))
+    ids = {i for i, x in out if grams(x)}
+    assert ids == {1, 2, None, 5, 6} and (1, rows[0][1]) in out and len(kept) == 6
+
+
+def test_unlearned_languages_go(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id < 120")
+    odd = [(900, "mieleni minun tekevi aivoni ajattelevi lahteani laulamahan saaani sanelemahan " * 8, "fi", "s0", 0), (901, "qwx zkj vvb pql xxk jjq wvz " * 20, "en", "s0", 0)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    model = langid.fit(docs)
+    told = {r.doc_id: r.score for r in langid.identify(both, model).collect()}
+    assert max(told[900], told[901]) < corpus_pipeline.LEAST_SCORE < min(told[k] for k in range(120))
+
+
 def test_run_ends_in_pieces(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in out[:50])
