@@ -24,21 +24,21 @@ RANGE_BYTES, RANGES = 64 << 20, 4096
 
 def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int = 2, m: int = 64) -> DataFrame:
     """Add ``out``: an array of ``m`` ints, ``m`` a multiple of ``BASES``. Texts of fewer than ``k`` words are one k-mer; texts without words get all zeros."""
-    kmer = ", ".join(f"__w[i + {j}]" for j in range(k))
-    df = df.withColumn("__w", words(F.col(text_col))).withColumn("__n", F.size("__w"))
-    df = df.withColumn(
-        "__g",
-        F.expr(f"""case when __n = 0 then cast(array() as array<bigint>) when __n < {k} then array(xxhash64(__w))
-            else transform(sequence(0, __n - {k}), i -> xxhash64({kmer})) end"""),
-    )
+    # words are hashed once; a k-mer's hash chains those of its words, all places at a time
+    df = df.withColumn("__w", F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w))).withColumn("__n", F.size("__w"))
+    grams = f"slice(__w, 1, __n - {k - 1})"
+    for j in range(1, k):
+        grams = f"zip_with({grams}, slice(__w, {j + 1}, __n - {k - 1}), (a, b) -> xxhash64(a, b))"
+    df = df.withColumn("__g", F.expr(f"case when __n = 0 then cast(array() as array<bigint>) when __n < {k} then array(xxhash64(__w)) else {grams} end"))
     df = df.withColumn("__k", F.size("__g")).withColumn("__b", F.expr("length(bin(__k + 1))"))
-    df = df.withColumn("__m", F.expr("shiftleft(1L, __b) - 1"))
+    df = df.withColumns({"__m": F.expr("shiftleft(1L, __b) - 1"), "__top": F.expr(f"shiftleft(shiftright({TOP}, __b), __b)")})
     # equal k-mers meet, in text order; positions count from 1 in the low bits
-    df = df.withColumn("__s", F.expr("sort_array(transform(__g, (x, i) -> (shiftleft(shiftright(x, __b), __b)) | cast(i + 1 as bigint)))"))
+    df = df.withColumn("__s", F.expr("sort_array(transform(__g, (x, i) -> (x & -1 - __m) | cast(i + 1 as bigint)))"))
     # the occurrence number of a repeated k-mer is found by halving steps back through its run
     occurrence = """if(i = 0 or shiftright(__s[i - 1], __b) <> shiftright(x, __b), 0,
         aggregate(sequence(__b, 0, -1), 0, (r, p) -> if(i - r - shiftleft(1, p) >= 0 and shiftright(__s[greatest(0, i - r - shiftleft(1, p))], __b) = shiftright(x, __b), r + shiftleft(1, p), r)))"""
     df = df.withColumn("__f", F.expr(f"transform(__s, (x, i) -> xxhash64(__g[cast(x & __m as int) - 1], {occurrence}))"))
+    df = df.withColumn("__p", F.expr("transform(__s, x -> x & __m)"))
     per = m // BASES
     marks = [((1 << 63) // per) * j for j in range(per)]
     df = df.withColumn("__c", F.expr("transform(array(" + ", ".join(f"{x}L" for x in marks) + "), x -> shiftleft(shiftright(x, __b), __b))"))
@@ -46,7 +46,7 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
     for base in range(BASES):
         of = "y" if base == 0 else f"xxhash64(y, {base}L)"
         e, t = f"__e{base}", f"__t{base}"
-        df = df.withColumn(e, F.expr(f"sort_array(transform(__f, (y, i) -> shiftleft(shiftright({of} & {TOP}, __b), __b) | (__s[i] & __m)))"))
+        df = df.withColumn(e, F.expr(f"sort_array(zip_with(__f, __p, (y, p) -> ({of} & __top) | p))"))
         # how many hashes lie before a mark, by halving steps
         df = df.withColumn(
             t,
@@ -56,7 +56,7 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
         slot = f"""xxhash64(transform(sort_array(transform(sequence(0, least({l}, __k) - 1), t -> {e}[(s + t) % __k] & __m)), p -> __g[cast(p as int) - 1]))"""
         sigs.append(f"transform({t}, s -> cast({slot} & 2147483647L as int))")
     df = df.withColumn(out, F.expr(f"if(__k = 0, array_repeat(0, {per * BASES}), concat({', '.join(sigs)}))"))
-    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__f", "__c", *[f"__{x}{base}" for x in "et" for base in range(BASES)])
+    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__f", "__c", "__p", "__top", *[f"__{x}{base}" for x in "et" for base in range(BASES)])
 
 
 def likeness(a: Column, b: Column, m: int = 64) -> Column:

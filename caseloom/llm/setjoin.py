@@ -41,10 +41,10 @@ OFTEN = 0.0005
 LONG = 64
 #: Index rows that a task sweeps, about.
 LIST_ROWS = 2_000_000
-#: Most sets and shingles of a part that a meeting is dealt into; a task holds two parts.
-PART, PART_SHINGLES = 1024, 2_000_000
+#: Most sets of a part that a meeting is dealt into, of one whose parts meet others, and most shingles of either.
+PART, PART_IN_PAIRS, PART_SHINGLES = 256, 1024, 2_000_000
 #: Sets of a meeting that all its parts get, about.
-SHARED = 24
+SHARED = 16
 #: Into how many a join deals the rows of one frequent key.
 SALTS = 64
 #: Lists in which a linked pair has to meet: sets of overlap o share l shingles in prefixes of |x| - o + l.
@@ -411,10 +411,10 @@ def _salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inne
     return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(one, [key, "__salt"], how).drop("__salt")
 
 
-def _parts_of(there: DataFrame) -> DataFrame:
+def _parts_of(there: DataFrame, part: int) -> DataFrame:
     """``host, n, k``: meetings that have to be dealt into ``k`` parts."""
     size = there.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
-    return size.select("host", "n", F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int").alias("k")).where("k > 1")
+    return size.select("host", "n", F.ceil(F.greatest(F.col("n") / part, F.col("shingles") / PART_SHINGLES)).cast("int").alias("k")).where("k > 1")
 
 
 def _part(k: str = "k"):
@@ -437,7 +437,7 @@ def _dealt_apart(there: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFr
     d = _salted(there, parts, "host", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = d.groupBy("host", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
     largest = sizes.groupBy("host").agg(F.max(F.struct("c", "s", "root")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("m.c < c")
-    few = F.greatest((F.col("c") - F.col("m.c")) / PART, (F.col("s") - F.col("m.s")) / PART_SHINGLES)
+    few = F.greatest((F.col("c") - F.col("m.c")) / PART_IN_PAIRS, (F.col("s") - F.col("m.s")) / PART_SHINGLES)
     largest = largest.select("host", F.col("m.root").alias("main"), F.ceil(few).cast("int").alias("few"))
     d = _salted(d, largest, "host", "node")
     everyone = d.select("*", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), _part().alias("j"), F.lit(1).alias("role"))
@@ -491,7 +491,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_lin
     own = nodes.join(hosts, "grp").select("doc_id", "h", "node", "copies", "size", F.col("grp").alias("host"))
     guests = visits.join(nodes.select("node", "doc_id", "h", "copies", "size"), "node").select("doc_id", "h", "node", "copies", "size", "host")
     there = staged(own.unionByName(guests))
-    parts = staged(_parts_of(there))
+    parts = staged(_parts_of(there, PART_IN_PAIRS if count_links else PART))
 
     def links_of(dealt: DataFrame, both: bool = False) -> DataFrame:
         # what is wanted grows with the corpus, so this join is never a broadcast

@@ -18,7 +18,7 @@ def plain_links(texts, n, percent):
 
 @pytest.mark.parametrize(("least", "long"), [(1024, 64), (6, 4)])
 def test_every_link_counts_once(spark, docs, rows, monkeypatch, least, long):
-    monkeypatch.setattr(setjoin, "PART", least)
+    monkeypatch.setattr(setjoin, "PART_IN_PAIRS", least)
     monkeypatch.setattr(setjoin, "LONG", long)
     want = collections.Counter(zip([r[0] for r in rows], plain_links([r[1] for r in rows], 3, 80)))
     assert collections.Counter((r.doc_id, r.n_links) for r in setjoin.jaccard_components(docs, 3, 80, count_links=True).collect()) == want
