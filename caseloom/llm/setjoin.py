@@ -439,7 +439,7 @@ def _dealt_apart(there: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFr
     largest = sizes.groupBy("host").agg(F.max(F.struct("c", "s", "root")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("m.c < c")
     few = F.greatest((F.col("c") - F.col("m.c")) / PART_IN_PAIRS, (F.col("s") - F.col("m.s")) / PART_SHINGLES)
     largest = largest.select("host", F.col("m.root").alias("main"), F.ceil(few).cast("int").alias("few"))
-    d = _salted(d, largest, "host", "node")
+    d = _salted(d, largest, "host", "node").withColumn("k", F.ceil(F.col("k") * F.lit(PART) / F.lit(PART_IN_PAIRS)).cast("int"))
     everyone = d.select("*", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), _part().alias("j"), F.lit(1).alias("role"))
     outside = d.where("root <> main").select("*", _part("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), F.lit(0).alias("role"))
     return outside.unionByName(everyone).withColumn("earlier", F.lit(None).cast("array<long>")).select(*ROLES)
