@@ -47,10 +47,12 @@ def noise(threshold) -> float:
         return 0.0
 
 
-def variants(spark: SparkSession, log) -> list[dict]:
-    """Variants by falling frequency; equal ones by first appearance."""
-    rows = v.ranked(v.uvcl(load(spark, log))).orderBy("rank").toLocalIterator()
-    return [{"rank": r["rank"], "activities": list(r.variant), "frequency": r.cnt} for r in rows]
+def variants(spark: SparkSession, log, at_most: int = 100_000) -> list[dict]:
+    """Variants by falling frequency; equal ones by first appearance. A log with more than ``at_most`` is a ``ValueError``: rank them as a table."""
+    ranks = v.ranked(v.uvcl(load(spark, log))).where(F.col("rank") <= at_most + 1).orderBy("rank").collect()
+    if len(ranks) > at_most:
+        raise ValueError(f"more than {at_most} variants")
+    return [{"rank": r["rank"], "activities": list(r.variant), "frequency": r.cnt} for r in ranks]
 
 
 def directly_follows(spark: SparkSession, log) -> dict:

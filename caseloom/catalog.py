@@ -169,9 +169,9 @@ def variant_bar_pct(spark, d):
     return _text(variants.bar_percent(variants.uvcl(logs.user_days(spark, d))), "cnt", "percent")
 
 
-@query(f"SELECT variant, string_agg(c, ',' ORDER BY c) AS cases FROM ({_cases(DAY)}) GROUP BY variant")
+@query(f"SELECT variant, c AS case_key FROM ({_cases(DAY)})")
 def variants_case_lists(spark, d):
-    return _text(variants.variant_cases(logs.user_days(spark, d)), F.array_join("cases", ",").alias("cases"))
+    return _text(variants.variant_cases(logs.user_days(spark, d)), "case_key")
 
 
 def _capped(n: int) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,18 @@ class EventLog:
         return replace(self, events=events, own_cases=cases)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows for good: a checkpoint in the shared folder that the session names, or kept in memory where it names none.
+
+    For results whose rows must be the same each time they are read, even if an executor is lost in between.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def from_table(df: DataFrame, case: list[str | Column], activity: str, order: list[str], keep: list[str] = ()) -> EventLog:
     """A log over any table: the case is told by ``case``, events are put in order by ``order``."""
     parts = [F.col(c) if isinstance(c, str) else c for c in case]

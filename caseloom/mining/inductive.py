@@ -1,7 +1,9 @@
 """Inductive miner on a compressed log.
 
-The log is compressed in Spark (variant and count) and its variants are collected; the recursion
-then works on tuples of activities. Group order follows the first appearance of activities.
+A cut looks only at activities, who follows whom, who starts and who ends: at most activities squared
+numbers, which Spark counts. A log of many variants is cut and split where it is; once a part has no more
+than ``FEW`` variants it is collected, and the recursion goes on over tuples of activities, with the same
+result. Group order follows the first appearance of activities.
 """
 
 from __future__ import annotations
@@ -9,37 +11,41 @@ from __future__ import annotations
 from collections import Counter
 from functools import cmp_to_key
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..log import EventLog
+from ..log import EventLog, settled
 from ..models.petri import PetriNet
 from ..models.tree import Tree, leaf, node, to_petri_net
 from ..operators import variants
 
 Log = dict[tuple, int]
+#: Variants that are collected at most.
+FEW = 10_000
 
 
 class Follows:
     """What a cut looks at: activities in order of appearance, who follows whom, who starts and ends."""
 
-    def __init__(self, log: Log, noise: float = 0.0):
-        self.names = list(dict.fromkeys(a for v in log for a in v))
-        self.count, first, last = Counter(), Counter(), Counter()
-        for v, n in log.items():
-            for pair in zip(v, v[1:], strict=False):
-                self.count[pair] += n
-            if v:
-                first[v[0]] += n
-                last[v[-1]] += n
+    def __init__(self, names: list[str], count: Counter, starts: set[str], ends: set[str], noise: float = 0.0):
+        self.names, self.count = names, count
         if noise:  # an edge goes if it is rare among those that leave the same activity
             top = Counter()
             for (a, _), n in self.count.items():
                 top[a] = max(top[a], n)
             self.count = Counter({(a, b): n for (a, b), n in self.count.items() if n >= noise * top[a]})
-        self.edges, self.starts, self.ends = set(self.count), set(first), set(last)
+        self.edges, self.starts, self.ends = set(self.count), starts, ends
         self.after = {a: [b for b in self.names if (a, b) in self.edges] for a in self.names}
 
+    @classmethod
+    def of(cls, log: Log, noise: float = 0.0) -> Follows:
+        count = Counter()
+        for v, n in log.items():
+            for pair in zip(v, v[1:], strict=False):
+                count[pair] += n
+        return cls(list(dict.fromkeys(a for v in log for a in v)), count, {v[0] for v in log if v}, {v[-1] for v in log if v}, noise)
+
     def reach(self) -> dict[str, set]:
         """Activities that can come later; not the activity itself."""
         out = {}
@@ -118,27 +124,28 @@ def split_exclusive(log: Log, groups) -> list[Log]:
     return [_only({v: n for v, n in log.items() if home[v] == i}, set(g)) for i, g in enumerate(groups)]
 
 
+def loop_parts(trace: list, home: dict[str, int]) -> list[tuple[int, list]]:
+    """A trace cut where it goes from one group to another; both its ends belong to the body."""
+    at, part, parts = 0, [], []
+    for a in trace:
+        if home[a] != at:
+            parts.append((at, part))
+            at, part = home[a], []
+        part.append(a)
+    return [*parts, (at, part)]
+
+
 def split_loop(log: Log, groups) -> list[Log]:
-    """Cut traces where they go from one group to another; both ends of a trace belong to the body."""
     home = {a: i for i, g in enumerate(groups) for a in g}
     out: list[Log] = [{} for _ in groups]
-
-    def put(i: int, part: list, n: int) -> None:
-        out[i][tuple(part)] = out[i].get(tuple(part), 0) + n
-
     for v, n in log.items():
-        at, part = 0, []
-        for a in v:
-            if home[a] != at:
-                put(at, part, n)
-                at, part = home[a], []
-            part.append(a)
-        put(at, part, n)
+        for i, part in loop_parts(list(v), home):
+            out[i][tuple(part)] = out[i].get(tuple(part), 0) + n
     return out
 
 
-def flower(log: Log) -> Tree:
-    names = sorted({a for v in log for a in v}, key=lambda s: s.encode("utf-16-be"))
+def flower(names: set[str]) -> Tree:
+    names = sorted(names, key=lambda s: s.encode("utf-16-be"))
     return node("loop", leaf(), node("xor", *map(leaf, names), leaf()))
 
 
@@ -164,21 +171,74 @@ def mine(log: Log, noise: float = 0.0) -> Tree:
     if len(full) < len(log):
         return node("xor", leaf(), mine(full, noise))
     for level in dict.fromkeys((0.0, noise)):
-        f = Follows(log, level)
+        f = Follows.of(log, level)
         for operator, cut, split in CUTS:
             if groups := cut(f):
                 return node(operator, *(mine(part, noise) for part in split(log, groups)))
-    return flower(log)
+    return flower(names)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("variant").agg(F.sum("cnt").alias("cnt"), F.min("ord").alias("ord"))
+
+
+def _split(counts: DataFrame, operator: str, groups: list[list[str]]) -> list[DataFrame]:
+    """What the splits of a collected log do, as operations on its variants."""
+    only = lambda df, g: _gathered(df.withColumn("variant", F.filter("variant", lambda a: a.isin(g))))
+    home = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for a in g for x in (a, i)])
+    if operator == "xor":
+        first = counts.withColumn("__home", F.array_min(F.transform("variant", lambda a: home[a])))
+        return [only(first.where(F.col("__home") == i), g) for i, g in enumerate(groups)]
+    if operator != "loop":
+        return [only(counts, g) for g in groups]
+    of = {a: i for i, g in enumerate(groups) for a in g}
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for v, n, ord in zip(pdf["variant"], pdf["cnt"], pdf["ord"], strict=True):
+                for k, (i, part) in enumerate(loop_parts(list(v), of)):
+                    rows.append((i, part, n, [*ord, k]))
+            yield pd.DataFrame(rows, columns=["part", "variant", "cnt", "ord"])
+
+    parts = settled(counts.mapInPandas(cut, "part int, variant array<string>, cnt long, ord array<long>"))
+    return [_gathered(parts.where(F.col("part") == i)) for i in range(len(groups))]
+
+
+def mine_frame(counts: DataFrame, noise: float = 0.0, few: int | None = None) -> Tree:
+    """Process tree of ``variant, cnt, ord``; ``ord`` (an array of longs) puts variants in order of appearance."""
+    few = FEW if few is None else few
+    counts = settled(counts)
+    if len(rows := counts.orderBy("ord").limit(few + 1).collect()) <= few:
+        return mine({tuple(r.variant): r.cnt for r in rows}, noise)
+    full = counts.where(F.size("variant") > 0)
+    bare = full.count() < counts.count()
+    names = [r.activity for r in variants.alphabet(full.withColumnRenamed("ord", "first_seen")).orderBy("first_seen", "first_position").collect()]
+    if not names:
+        return leaf()
+    if len(names) == 1:
+        tree = node("loop", leaf(names[0]), leaf()) if full.where(F.size("variant") > 1).head(1) else leaf(names[0])
+        return node("xor", leaf(), tree) if bare else tree
+    if bare:
+        return node("xor", leaf(), mine_frame(full, noise, few))
+    count = Counter({(r.source, r.target): r.cnt for r in variants.pairs_of(full).collect()})
+    ends = [{r[0] for r in full.select(F.element_at("variant", at)).distinct().collect()} for at in (1, -1)]
+    for level in dict.fromkeys((0.0, noise)):
+        f = Follows(names, count, *ends, level)
+        for operator, cut, _ in CUTS:
+            if groups := cut(f):
+                return node(operator, *(mine_frame(part, noise, few) for part in _split(full, operator, groups)))
+    return flower(set(names))
 
 
-def inductive_miner_uvcl(counts: DataFrame, noise: float = 0.0, sound: bool = False) -> tuple[Tree, PetriNet]:
-    """From ``variant, cnt`` (and ``first_seen`` for the order of appearance)."""
-    order = [F.col("first_seen")] if "first_seen" in counts.columns else [F.to_json("variant")]
-    log = {tuple(r.variant): r.cnt for r in counts.orderBy(*order).select("variant", "cnt").collect()}
-    tree = mine(log, noise)
+def inductive_miner_uvcl(counts: DataFrame, noise: float = 0.0, sound: bool = False, few: int | None = None) -> tuple[Tree, PetriNet]:
+    """From ``variant, cnt`` (and ``first_seen`` for the order of appearance). ``few``: how many variants may be collected."""
+    order = [F.col("first_seen")] if "first_seen" in counts.columns else []
+    placed = variants.global_rank(counts.where("cnt > 0"), [*order, F.to_json("variant")], "place").select("variant", "cnt", F.array("place").alias("ord"))
+    tree = mine_frame(placed, noise, few)
     return tree, to_petri_net(tree, sound)
 
 
-def inductive_miner(log: EventLog, noise: float = 0.0, sound: bool = False) -> tuple[Tree, PetriNet]:
+def inductive_miner(log: EventLog, noise: float = 0.0, sound: bool = False, few: int | None = None) -> tuple[Tree, PetriNet]:
     counts = variants.case_variants(log).groupBy("variant").agg(F.count(F.lit(1)).alias("cnt"), F.min("case_key").alias("first_seen"))
-    return inductive_miner_uvcl(counts, noise, sound)
+    return inductive_miner_uvcl(counts, noise, sound, few)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..log import EventLog
+from ..log import EventLog, settled
 
 
 def in_case() -> Window:
@@ -32,7 +32,7 @@ def split_pairs(log: EventLog, slices: int | None = None) -> DataFrame:
     keys = ["case_key", "event_order"]
     events = log.events.select(*keys, "activity")
     spread = events.repartitionByRange(slices, *keys) if slices else events.repartitionByRange(*keys)
-    spread = spread.withColumn("slice", F.spark_partition_id())
+    spread = settled(spread.withColumn("slice", F.spark_partition_id()))  # both uses must see the same slices
     inside = Window.partitionBy("case_key", "slice").orderBy("event_order")
     step = spread.select("case_key", "slice", F.col("activity").alias("source"), F.lead("activity").over(inside).alias("target"), F.lead("event_order").over(inside).isNull().alias("last"))
     heads = spread.groupBy("case_key", "slice").agg(F.min(F.struct("event_order", "activity"))["activity"].alias("head"))

@@ -73,8 +73,12 @@ def attribute(attrs: str, key: str, fallback: Column) -> Column:
 
 
 def map_cases(log: EventLog, fn: Callable, schema: str) -> DataFrame:
-    """Any function of a case's events (a pandas frame in event order). Prefer column expressions."""
-    return log.events.groupBy("case_key").applyInPandas(lambda pdf: fn(pdf.sort_values("event_order", key=lambda s: s.map(str)) if len(pdf) else pdf), schema)
+    """Any function of a case's events (a pandas frame in event order). Prefer column expressions.
+
+    The order is Spark's own, number by number: a case's events are numbered where they are sorted.
+    """
+    numbered = with_event_index(log)
+    return numbered.groupBy("case_key").applyInPandas(lambda pdf: fn(pdf.sort_values("event_idx").drop(columns="event_idx").reset_index(drop=True)), schema)
 
 
 # positions count from 0, negative ones from the end

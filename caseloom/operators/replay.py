@@ -2,17 +2,19 @@
 
 Variants, not cases, are replayed, in parallel; the net is small and goes along with the task. For each activity the
 transition of that label fires; if it is not enabled, a shortest run of silent transitions that enables
-it is looked for; failing that, the missing tokens are added. An activity that the net does not know is
+it is looked for; failing that, the missing tokens are added. A net whose silent steps reach more than
+``bound`` markings from one is refused: a search cut short would pass for a trace that does not fit. An activity that the net does not know is
 counted as one missing and one remaining token, so the trace does not fit.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..log import EventLog
@@ -21,7 +23,7 @@ from . import variants
 
 
 class Replay:
-    def __init__(self, net: PetriNet, bound: int = 2000):
+    def __init__(self, net: PetriNet, bound: int = 1_000_000):
         self.bound = bound
         arcs = [(a.source, a.target, a.weight) for a in net.arcs.values()]
         self.take = {t: {s: w for s, x, w in arcs if x == t} for t in net.transitions}
@@ -45,9 +47,11 @@ class Replay:
         return {p: n for p, n in m.items() if n}
 
     def silently(self, m: dict) -> Iterator[tuple[dict, list[str]]]:
-        """Markings reachable by silent steps, nearest first, up to a bound."""
+        """Markings reachable by silent steps, nearest first."""
         seen, todo = {frozenset(m.items())}, deque([(m, [])])
-        while todo and len(seen) <= self.bound:
+        while todo:
+            if len(seen) > self.bound:
+                raise RuntimeError(f"silent steps reach more than {self.bound} markings; raise the bound, or check that the net is bounded")
             now, path = todo.popleft()
             yield now, path
             for t in self.silent:
@@ -91,17 +95,13 @@ class Replay:
         remaining = sum(max(0, n - self.goal.get(p, 0)) for p, n in m.items()) + extra
         return missing + lack, consumed + sum(self.goal.values()), remaining, produced
 
-    def allowed(self, prefix: list[str]) -> set[str] | None:
-        """Labels that may come after a prefix; None if the net cannot replay it."""
+    def along(self, trace: list[str]) -> Iterator[set[str] | None]:
+        """Labels that may come after each proper prefix of a trace, the empty one first; None where the net cannot replay it."""
         states = {frozenset(self.start.items())}
-        for a in [*prefix, None]:
+        for a in trace:
             wide = {frozenset(now.items()) for s in states for now, _ in self.silently(dict(s))}
-            if a is None:
-                return {label for label, ts in self.named.items() for s in wide if any(self.can(dict(s), t) for t in ts)}
+            yield {label for label, ts in self.named.items() for s in wide if any(self.can(dict(s), t) for t in ts)} if wide else None
             states = {frozenset(self.step(dict(s), t).items()) for s in wide for t in self.named.get(a, ()) if self.can(dict(s), t)}
-            if not states:
-                return None
-        return None
 
 
 def replay_variants(counts: DataFrame, net: PetriNet) -> DataFrame:
@@ -133,24 +133,40 @@ def fitness(log: EventLog, net: PetriNet) -> DataFrame:
     return one.select((0.5 * (1 - part("m", "c")) + 0.5 * (1 - part("r", "p"))).alias("log_fitness"), _share(F.col("f"), F.col("n")).alias("pct_fitting_traces"))
 
 
-def prefixes(counts: DataFrame) -> DataFrame:
-    """``prefix, cnt, following``: every proper prefix of the log, how often it occurs, what comes next."""
-    cut = F.expr("transform(sequence(0, size(variant) - 1), i -> struct(slice(variant, 1, i) as prefix, variant[i] as next))")
-    rows = counts.where(F.size("variant") > 0).select(F.explode(cut).alias("p"), "cnt")
-    return rows.groupBy("p.prefix").agg(F.sum("cnt").alias("cnt"), F.collect_set("p.next").alias("following"))
+def prefix_steps(counts: DataFrame) -> DataFrame:
+    """``h1, h2, last, next, cnt`` for every proper prefix of every variant, the empty one included.
+
+    A prefix is told by two 64-bit hashes, which grow by one activity at a time: the exclusive or of the hashes of
+    its activities at their places. So no prefix is ever written out, and long cases cost as many rows as events.
+    """
+    rows = counts.where(F.size("variant") > 0).select(F.xxhash64("variant").alias("v1"), F.hash("variant").alias("v2"), "cnt", F.posexplode("variant").alias("pos", "next"))
+    before = Window.partitionBy("v1", "v2").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda salt: F.coalesce(F.bit_xor(F.xxhash64(F.lit(salt), "pos", "next")).over(before), F.lit(0).cast("long"))
+    return rows.select(so_far(1).alias("h1"), so_far(2).alias("h2"), F.lag("next").over(Window.partitionBy("v1", "v2").orderBy("pos")).alias("last"), "next", "cnt")
 
 
 def precision(log: EventLog, net: PetriNet) -> DataFrame:
-    """One row: ``precision`` by escaping edges, weighted by cases. Prefixes that do not replay are left out."""
+    """One row: ``precision`` by escaping edges, weighted by cases. Prefixes that do not replay are left out.
+
+    Each variant is replayed once, all its prefixes on the way; equal prefixes of different variants meet by hash.
+    """
     run = Replay(net.executable())
+    schema = "prefix binary, cnt long, next string, allowed array<string>"
 
     def each(batches):
         for pdf in batches:
-            got = [run.allowed(list(p)) for p in pdf["prefix"]]
-            pairs = [(len(a), len(a - set(f))) if a is not None else (0, 0) for a, f in zip(got, pdf["following"], strict=True)]
-            yield pd.DataFrame({"allowed": [n * a for n, (a, _) in zip(pdf["cnt"], pairs, strict=True)], "escaping": [n * e for n, (_, e) in zip(pdf["cnt"], pairs, strict=True)]})
-
-    sums = prefixes(variants.uvcl(log)).mapInPandas(each, "allowed long, escaping long").agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("a"), F.coalesce(F.sum("escaping"), F.lit(0)).alias("e"))
+            rows = []
+            for variant, cnt in zip(pdf["variant"], pdf["cnt"], strict=True):
+                prefix = hashlib.blake2b(digest_size=16)
+                for a, may in zip(variant, run.along(list(variant)), strict=True):
+                    rows.append((prefix.digest(), cnt, a, sorted(may) if may is not None else None))
+                    prefix.update(f"{len(a)}:{a}".encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame(rows, columns=["prefix", "cnt", "next", "allowed"])
+
+    steps = variants.uvcl(log).select("variant", "cnt").mapInPandas(each, schema).where("allowed is not null")
+    per = steps.groupBy("prefix").agg(F.sum("cnt").alias("cnt"), F.collect_set("next").alias("next"), F.first("allowed").alias("allowed"))
+    escaping = F.size(F.array_except("allowed", "next"))
+    sums = per.agg(F.coalesce(F.sum(F.col("cnt") * F.size("allowed")), F.lit(0)).alias("a"), F.coalesce(F.sum(F.col("cnt") * escaping), F.lit(0)).alias("e"))
     return sums.select((1 - F.when(F.col("a") == 0, F.lit(0.0)).otherwise(F.col("e") / F.col("a"))).alias("precision"))
 
 
@@ -176,7 +192,8 @@ def dfg_conformance(log: EventLog) -> DataFrame:
     edges = variants.pairs_of(counts)
     leave = edges.groupBy(F.col("source").alias("last")).agg(F.count(F.lit(1)).alias("allowed"))
     first = counts.where(F.size("variant") > 0).select(F.col("variant")[0].alias("a")).distinct().agg(F.count(F.lit(1)).alias("starts"))
-    rows = prefixes(counts).select(F.try_element_at("prefix", F.lit(-1)).alias("last"), "cnt", F.size("following").alias("seen"), (F.size("prefix") == 0).alias("at_start"))
+    per = prefix_steps(counts).groupBy("h1", "h2").agg(F.max("last").alias("last"), F.sum("cnt").alias("cnt"), F.count_distinct("next").alias("seen"))
+    rows = per.withColumn("at_start", F.col("last").isNull())
     rows = rows.join(leave, "last", "left").crossJoin(F.broadcast(first))
     allowed = F.when(F.col("at_start"), F.col("starts")).otherwise(F.col("allowed"))
     sums = rows.agg(F.coalesce(F.sum(F.col("cnt") * allowed), F.lit(0)).alias("a"), F.coalesce(F.sum(F.col("cnt") * (allowed - F.col("seen"))), F.lit(0)).alias("e"))

@@ -6,11 +6,10 @@ or replays works on the result. Missing activities are skipped; a case without a
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..log import EventLog
+from ..log import EventLog, settled
 
 
 def case_variants(log: EventLog) -> DataFrame:
@@ -33,8 +32,8 @@ def uvcl(log: EventLog) -> DataFrame:
 
 
 def variant_cases(log: EventLog) -> DataFrame:
-    """``variant, cases``: the cases of each variant, in order."""
-    return case_variants(log).groupBy("variant").agg(F.sort_array(F.collect_list("case_key")).alias("cases"))
+    """``variant, case_key``: a row a case, so that a variant may have any number of them."""
+    return case_variants(log).select("variant", "case_key")
 
 
 def language(counts: DataFrame) -> DataFrame:
@@ -47,10 +46,10 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Number rows from 1 in a total order without a single-task sort.
 
     Rows are range-partitioned and sorted; each partition's numbers start after the rows of those
-    before it. The sorted rows are kept, since both passes must see the same partitions.
+    before it. The sorted rows are settled, since both passes must see the same partitions.
     """
     spot = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    spot = spot.withColumn("__p", F.shiftrightunsigned("__id", 33)).persist(StorageLevel.MEMORY_AND_DISK)
+    spot = settled(spot.withColumn("__p", F.shiftrightunsigned("__id", 33)))
     sizes = spot.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     rank = (F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).cast("long")

@@ -33,7 +33,7 @@ def test_variants_and_language(small):
     u = variants.uvcl(small)
     assert counts(u) == {"ABC": 2, "AC": 1}
     assert {"".join(r.variant): round(r.probability, 4) for r in variants.language(u).collect()} == {"ABC": 0.6667, "AC": 0.3333}
-    assert {"".join(r.variant): r.cases for r in variants.variant_cases(small).collect()} == {"ABC": [0, 2], "AC": [1]}
+    assert sorted(("".join(r.variant), r.case_key) for r in variants.variant_cases(small).collect()) == [("ABC", 0), ("ABC", 2), ("AC", 1)]
     assert ["".join(r.variant) for r in variants.sorted_by_count(u).collect()] == ["ABC", "AC"]
 
 
@@ -166,3 +166,11 @@ def test_alphabet_and_minimal_traces(spark, small):
     u = variants.case_variants(small).groupBy("variant").agg(F.count(F.lit(1)).alias("cnt"), F.min("case_key").alias("first_seen"))
     assert [r.activity for r in variants.alphabet(u).orderBy("first_seen", "first_position").collect()] == ["A", "B", "C"]
     assert variants.to_events(u).count() == 5
+
+
+def test_functions_of_long_cases_see_events_in_order(spark):
+    from caseloom.plans.logs import of_sequences
+
+    log = of_sequences(spark, {"1": [f"a{k}" for k in range(12)], "2": [f"b{k}" for k in range(120)]})
+    out = filters.map_cases(log, lambda pdf: pdf[["case_key", "activity"]].assign(place=range(len(pdf))), "case_key long, activity string, place int").collect()
+    assert all(r.activity == f"{'ab'[r.case_key]}{r.place}" for r in out) and len(out) == 132

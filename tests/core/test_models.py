@@ -1,3 +1,4 @@
+import random
 import json
 import xml.etree.ElementTree as ET
 
@@ -262,3 +263,34 @@ def test_grid_order_and_routes():
 def test_json_of_net_is_valid():
     d = json.loads(to_petri_net(mine(LOG)).to_json())
     assert {"id", "name", "places", "transitions", "arcs"} <= set(d) and d["schemaVersion"] == "1.0"
+
+
+def test_mining_in_place_gives_the_collected_tree(spark):
+    rng = random.Random(5)
+    for _ in range(6):
+        seqs = {}
+        for k in range(8):
+            shape = rng.choice(["abc", "acb", "ad", "xy", "abcbc", "", "x", "aebc"])
+            seqs[str(k)] = list(shape * rng.choice([1, 1, 2]))
+        log = of_sequences(spark, seqs)
+        assert str(inductive_miner(log, few=0)[0]) == str(inductive_miner(log)[0])
+
+
+def test_replay_looks_at_all_silent_markings(spark):
+    net = PetriNet()
+    start, end = net.place("start", 1), net.place("end", 0, 1)
+    split, join = net.transition(), net.transition("z")
+    net.arc(start.id, split.id)
+    net.arc(join.id, end.id)
+    for k in range(12):  # each branch may be skipped: over 4096 markings
+        a, b = net.place(), net.place()
+        net.arc(split.id, a.id)
+        net.arc(b.id, join.id)
+        for label in ("", f"b{k}"):
+            t = net.transition(label)
+            net.arc(a.id, t.id)
+            net.arc(t.id, b.id)
+    log = of_sequences(spark, {"1": ["z"]})
+    assert tuple(replay.fitness(log, net).first()) == (1.0, 1.0)
+    with pytest.raises(RuntimeError):
+        list(replay.Replay(net, bound=100).silently({split.id: 0, start.id: 1}))

@@ -33,3 +33,13 @@ def test_windows_count_activities(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
     got = run(spark, live.windowed_counts(stream), "counts", "complete")
     assert sorted((r.activity, r.cnt) for r in got) == [("A", 2), ("B", 1)]
+
+
+def test_a_long_pause_loses_no_pair_unless_asked(spark, tmp_path):
+    for day, (case, a) in enumerate([("x", "A"), ("y", "A"), ("y", "B"), ("x", "B")]):
+        spark.sql(f"select '{case}' as case_key, '{a}' as activity, timestamp'2024-01-0{day + 1} 01:00:00' as ts, {day}L as event_id").write.parquet(f"{tmp_path}/in/{day}")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = sorted((r.case_key, r.source, r.target) for r in run(spark, live.stream_pairs(stream), "pauses"))
+    assert got == [("x", "A", "B"), ("y", "A", "B")]
+    got = sorted((r.case_key, r.source, r.target) for r in run(spark, live.stream_pairs(stream, forget_after_ms=36 * 3600 * 1000), "forgotten"))
+    assert got == [("y", "A", "B")]
