@@ -324,10 +324,13 @@ def xml_escape_docs(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_models  # noqa: F401  its queries register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

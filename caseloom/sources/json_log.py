@@ -24,6 +24,16 @@ def case_lines(log: EventLog) -> DataFrame:
     return cases.join(events, "case_key", "left").select("case_key", F.to_json(F.struct(name, F.coalesce("events", F.array().cast(events.schema["events"].dataType)).alias("events"))).alias("json"))
 
 
+def parse_lines(lines: DataFrame, text: str = "json", meta: Meta = Meta()) -> EventLog:
+    """A log from rows of case objects, as ``case_lines`` gives them; cases are told by ``case_key``."""
+    shape = "attributes map<string,string>, events array<map<string,string>>"
+    got = lines.select("case_key", F.from_json(F.col(text), shape).alias("c"))
+    cases = got.select("case_key", F.col("c.attributes")[meta.case_id_key].alias("case_id"))
+    events = got.select("case_key", F.posexplode("c.events").alias("event_order", "attrs"))
+    a = F.col("attrs")
+    return EventLog(events.select("case_key", "event_order", a[meta.activity_key].alias("activity"), a[meta.timestamp_key].try_cast("timestamp").alias("ts"), a[LIFECYCLE].alias("lifecycle"), "attrs"), cases, meta)
+
+
 def to_json(log: EventLog) -> str:
     """One JSON object, for logs that fit the driver."""
     traces = [json.loads(r.json) for r in case_lines(log).orderBy("case_key").toLocalIterator()]

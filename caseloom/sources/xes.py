@@ -20,6 +20,8 @@ from ..log import ACTIVITY, CASE_ID, COMPLETE, LIFECYCLE, TIMESTAMP, EventLog, M
 SCALARS = ("string", "id", "date", "int", "float", "boolean")
 NESTED = ("list", "container")
 
+OPTIONS = {"ignoreNamespace": "true", "nullValue": "\u0000", "ignoreSurroundingSpaces": "false"}
+
 VALUE = T.StructType(
     [
         T.StructField("t", T.StringType()),
@@ -133,11 +135,30 @@ def parse(spark: SparkSession, text: str, sort_by_timestamp: bool = True, max_tr
     """The same for XML at hand, such as an upload."""
     meta = header(text)
     whole = T.StructType([T.StructField("trace", T.ArrayType(_schema()))])
-    got = spark.createDataFrame([(text,)], "x string").select(F.from_xml("x", whole, {"ignoreNamespace": "true", "nullValue": "\u0000", "ignoreSurroundingSpaces": "false"}).alias("x"))
+    got = spark.createDataFrame([(text,)], "x string").select(F.from_xml("x", whole, OPTIONS).alias("x"))
     rows = got.select(F.posexplode("x.trace").alias("__id", "t")).select(F.col("__id").cast("long").alias("__id"), "t.*")
     return _log_of(rows, meta, sort_by_timestamp, max_traces)
 
 
+def parse_traces(traces: DataFrame, xml: str, order: str, meta: Meta = Meta(), sort_by_timestamp: bool = True, max_traces: int | None = None) -> EventLog:
+    """The same for a table of trace elements, a row each; ``order`` (a long) is their place and becomes ``case_key``."""
+    rows = traces.select(F.col(order).cast("long").alias("__id"), F.from_xml(F.col(xml), _schema(), OPTIONS).alias("t")).select("__id", "t.*")
+    return _log_of(rows, meta, sort_by_timestamp, max_traces)
+
+
+def fetch(spark: SparkSession, url: str, timeout: float = 60.0, **options) -> EventLog:
+    """Read XES from a web address. Any answer but success is an ``OSError``."""
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=timeout) as answer:
+            text = answer.read().decode("utf-8-sig")
+    except HTTPError as e:
+        raise OSError(f"{url}: status {e.code}") from e
+    return parse(spark, text, **options)
+
+
 def _log_of(rows: DataFrame, meta: Meta, sort_by_timestamp: bool, max_traces: int | None) -> EventLog:
     if max_traces is not None:
         rows = rows.orderBy("__id").limit(max_traces)
@@ -191,18 +212,17 @@ def write_lines(log: EventLog) -> DataFrame:
 
 #: What stands before and after the traces.
 HEADER = """<?xml version="1.0" encoding="UTF-8"?>
-<log xes.version="1.0" xes.features="nested-attributes" openxes.version="1.0RC7"
-     xmlns="http://www.xes-standard.org/">
-  <extension name="Concept"   prefix="concept"   uri="http://www.xes-standard.org/concept.xesext"/>
-  <extension name="Time"      prefix="time"      uri="http://www.xes-standard.org/time.xesext"/>
+<log xes.version="1.0" xes.features="nested-attributes" openxes.version="1.0RC7" xmlns="http://www.xes-standard.org/">
+  <extension name="Concept" prefix="concept" uri="http://www.xes-standard.org/concept.xesext"/>
+  <extension name="Time" prefix="time" uri="http://www.xes-standard.org/time.xesext"/>
   <extension name="Lifecycle" prefix="lifecycle" uri="http://www.xes-standard.org/lifecycle.xesext"/>
   <global scope="trace">
     <string key="concept:name" value="__INVALID__"/>
   </global>
   <global scope="event">
-    <string key="concept:name"          value="__INVALID__"/>
-    <date   key="time:timestamp"         value="1970-01-01T00:00:00.000Z"/>
-    <string key="lifecycle:transition"   value="complete"/>
+    <string key="concept:name" value="__INVALID__"/>
+    <date key="time:timestamp" value="1970-01-01T00:00:00.000Z"/>
+    <string key="lifecycle:transition" value="complete"/>
   </global>
   <classifier name="Activity classifier" keys="concept:name"/>"""
 FOOTER = "</log>"

@@ -26,7 +26,7 @@ def test_flagship(spark):
 def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("events", "conversations", "orders", "documents"):
+    for t in ("events", "conversations", "orders", "documents", "nation", "region"):
         con.execute(f"create view {t} as select * from '{TABLES}/{t}.parquet'")
     norm = lambda v: round(v, ROUND) if isinstance(v, float) else v
     df = catalog.queries()[name](spark, TABLES)

@@ -19,11 +19,11 @@ XES = """<?xml version="1.0" encoding="UTF-8"?>
   <string key="creator" value="tests"/>
   <trace>
     <string key="concept:name" value="c &amp; 1"/>
-    <event><string key="concept:name" value="B"/><date key="time:timestamp" value="2024-01-01T12:00:00.250+01:00"/><int key="cost" value="12abc"/><float key="score" value="1.5e2x"/><boolean key="ok" value="TRUE"/><id key="uuid" value="u-1"/></event>
-    <event><string key="concept:name" value="A"/><date key="time:timestamp" value="2024-01-01T08:00:00Z"/><int key="cost" value="none"/><boolean key="ok" value="1"/><string key="concept:name" value="A2"/></event>
+    <event><string key="concept:name" value="B"/><date key="time:timestamp" value="2031-05-06T19:45:10.250+02:00"/><int key="cost" value="12abc"/><float key="score" value="1.5e2x"/><boolean key="ok" value="TRUE"/><id key="uuid" value="u-1"/></event>
+    <event><string key="concept:name" value="A"/><date key="time:timestamp" value="2031-05-06T03:20:00Z"/><int key="cost" value="none"/><boolean key="ok" value="1"/><string key="concept:name" value="A2"/></event>
   </trace>
   <trace>
-    <event><date key="time:timestamp" value="2024-01-01T16:00:00Z"/><list key="tags"><values><string key="t" value="x"/><string key="t" value="y"/></values></list><string key="" value="dropped"/></event>
+    <event><date key="time:timestamp" value="2031-06-07T21:05:30Z"/><list key="marks"><values><string key="left" value="x"/><string key="right" value="y"/></values></list><string key="" value="dropped"/></event>
     <event><string key="concept:name" value="D"/><date key="time:timestamp" value="not a date"/></event>
   </trace>
   <trace><string key="concept:name" value="empty"/></trace>
@@ -60,9 +60,9 @@ def test_xes_events(spark, path):
     assert [r.activity for r in rows] == ["A2", "B", "filled", "D"]
     b = rows[1].attrs
     assert (b["cost"].l, b["score"].d, b["ok"].b, b["uuid"].s, b["org:resource"].s) == (12, 150.0, True, "u-1", "nobody")
-    assert rows[1].ts.isoformat() == "2024-01-01T11:00:00.250000"
+    assert rows[1].ts.isoformat() == "2031-05-06T17:45:10.250000"
     assert rows[0].attrs["cost"].l is None and rows[0].attrs["ok"].b is False
-    assert json.loads(rows[2].attrs["tags"].s)["string"] == [{"_key": "t", "_value": "x"}, {"_key": "t", "_value": "y"}] and "" not in rows[2].attrs
+    assert json.loads(rows[2].attrs["marks"].s)["string"] == [{"_key": "left", "_value": "x"}, {"_key": "right", "_value": "y"}] and "" not in rows[2].attrs
     assert rows[3].attrs["time:timestamp"].ts is None
     assert [r.case_id for r in log.cases.orderBy("case_key").collect()] == ["c & 1", "none", "empty"]
     assert {tuple(r.variant): r.cnt for r in variants.uvcl(log).collect()} == {("A2", "B"): 1, ("filled", "D"): 1, (): 1}
@@ -134,3 +134,29 @@ def test_keys_can_be_set(spark):
     log = json_log.from_json(spark, {"properties": {"x:param:activity_key": "step"}, "traces": [{"attributes": {"concept:name": "c"}, "events": [{"step": "A", "concept:name": "B"}]}]})
     assert log.meta.activity_key == "step" and log.meta.timestamp_key == "time:timestamp"
     assert [r.activity for r in log.events.collect()] == ["A"]
+
+
+def test_xes_from_the_web_or_an_error(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    body = '<log><trace><string key="concept:name" value="1"/><event><string key="concept:name" value="A"/></event></trace></log>'
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/log.xes" else 404)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        where = f"http://127.0.0.1:{server.server_port}"
+        assert [r.activity for r in xes.fetch(spark, f"{where}/log.xes").events.collect()] == ["A"]
+        with pytest.raises(OSError, match="404"):
+            xes.fetch(spark, f"{where}/none.xes")
+    finally:
+        server.shutdown()
