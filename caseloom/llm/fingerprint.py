@@ -32,13 +32,18 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
     df = df.withColumn("__g", F.expr(f"case when __n = 0 then cast(array() as array<bigint>) when __n < {k} then array(xxhash64(__w)) else {grams} end"))
     df = df.withColumn("__k", F.size("__g")).withColumn("__b", F.expr("length(bin(__k + 1))"))
     df = df.withColumns({"__m": F.expr("shiftleft(1L, __b) - 1"), "__top": F.expr(f"shiftleft(shiftright({TOP}, __b), __b)")})
-    # equal k-mers meet, in text order; positions count from 1 in the low bits
-    df = df.withColumn("__s", F.expr("sort_array(transform(__g, (x, i) -> (x & -1 - __m) | cast(i + 1 as bigint)))"))
+    # where k-mers repeat, equal ones meet, in text order; positions count from 1 in the low bits
+    df = df.withColumn("__d", F.expr("size(array_distinct(__g)) < __k"))
+    df = df.withColumn("__s", F.expr("if(__d, sort_array(transform(__g, (x, i) -> (x & -1 - __m) | cast(i + 1 as bigint))), cast(array() as array<bigint>))"))
     # the occurrence number of a repeated k-mer is found by halving steps back through its run
     occurrence = """if(i = 0 or shiftright(__s[i - 1], __b) <> shiftright(x, __b), 0,
         aggregate(sequence(__b, 0, -1), 0, (r, p) -> if(i - r - shiftleft(1, p) >= 0 and shiftright(__s[greatest(0, i - r - shiftleft(1, p))], __b) = shiftright(x, __b), r + shiftleft(1, p), r)))"""
-    df = df.withColumn("__f", F.expr(f"transform(__s, (x, i) -> xxhash64(__g[cast(x & __m as int) - 1], {occurrence}))"))
-    df = df.withColumn("__p", F.expr("transform(__s, x -> x & __m)"))
+    df = df.withColumns(
+        {
+            "__f": F.expr(f"if(__d, transform(__s, (x, i) -> xxhash64(__g[cast(x & __m as int) - 1], {occurrence})), transform(__g, x -> xxhash64(x, 0)))"),
+            "__p": F.expr("case when __d then transform(__s, x -> x & __m) when __k = 0 then cast(array() as array<bigint>) else sequence(1L, cast(__k as bigint)) end"),
+        }
+    )
     per = m // BASES
     marks = [((1 << 63) // per) * j for j in range(per)]
     df = df.withColumn("__c", F.expr("transform(array(" + ", ".join(f"{x}L" for x in marks) + "), x -> shiftleft(shiftright(x, __b), __b))"))
@@ -56,7 +61,7 @@ def with_signature(df: DataFrame, text_col: str, out: str, k: int = 5, l: int =
         slot = f"""xxhash64(transform(sort_array(transform(sequence(0, least({l}, __k) - 1), t -> {e}[(s + t) % __k] & __m)), p -> __g[cast(p as int) - 1]))"""
         sigs.append(f"transform({t}, s -> cast({slot} & 2147483647L as int))")
     df = df.withColumn(out, F.expr(f"if(__k = 0, array_repeat(0, {per * BASES}), concat({', '.join(sigs)}))"))
-    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__f", "__c", "__p", "__top", *[f"__{x}{base}" for x in "et" for base in range(BASES)])
+    return df.drop("__w", "__n", "__g", "__k", "__b", "__m", "__s", "__d", "__f", "__c", "__p", "__top", *[f"__{x}{base}" for x in "et" for base in range(BASES)])
 
 
 def likeness(a: Column, b: Column, m: int = 64) -> Column:
