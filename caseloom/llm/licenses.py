@@ -26,6 +26,8 @@ from .license_texts import LONG, SHORT
 
 TEMPLATES = SHORT + LONG
 N = 5
+#: Most templates, since every task gets them all.
+LIMIT = 10_000
 
 _AROUND = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 
@@ -127,11 +129,13 @@ def _scan(templates, share: float):
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matches ``doc_id, template, start_word, n_words, containment``; documents without any give no row.
 
-    ``templates``: (name, text) pairs, a stated list that every task gets whole. A-Z is lower-cased and
+    ``templates``: (name, text) pairs, a stated list of at most ``LIMIT`` that every task gets whole; more are refused. A-Z is lower-cased and
     punctuation around words does not count. Null and empty texts match nothing, an empty table gives
     none; equal rows match each on its own; a repeated passage matches at each place. Of equally good windows
     the first counts. Texts are read whole, one at a time; other columns of ``docs`` are not kept,
     whatever their names. There is no shuffle.
     """
     templates = tuple(templates)
+    if len(templates) > LIMIT:
+        raise ValueError(f"at most {LIMIT} templates")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan(templates, share), "doc_id long, template string, start_word long, n_words long, containment double")
