@@ -16,9 +16,13 @@ def values(column, step: int = 256):
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: close inputs get unrelated outputs."""
-    x = (x ^ (x >> np.uint64(30))) * C
-    x = (x ^ (x >> np.uint64(27))) * D
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= C
+    y ^= y >> np.uint64(27)
+    y *= D
+    y ^= y >> np.uint64(31)
+    return y
 
 
 class WordHasher:

@@ -66,33 +66,51 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=np.uint64(0))
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and for each key which of them it is."""
-    o = np.argsort(keys)
-    k = keys[o]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    which = np.empty(len(keys), np.int64)
-    which[o] = np.cumsum(new) - 1
-    return k[new], which
+def _starts(rising: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.r_[True, rising[1:] != rising[:-1]]) if len(rising) else np.zeros(0, np.int64)
+
 
+def _summed(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts, dtype=np.uint64) if len(starts) else np.zeros(0, np.uint64)
 
-def _summed(which: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(which, weights=weight, minlength=n).astype(np.uint64)  # exact below 2**53
+
+def _grouped(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct keys in order, for each key which of them it is, and the weight of each. A task holds fewer than 2**32 keys."""
+    o = np.argsort(keys)
+    k = keys[o]
+    starts = _starts(k)
+    distinct = k[starts]
+    del k
+    total = None if weight is None else _summed(weight[o], starts)
+    rank = np.zeros(len(o), np.uint32)
+    rank[starts[1:]] = 1
+    which = np.empty(len(o), np.uint32)
+    which[o] = np.cumsum(rank, out=rank)
+    return distinct, which, total
 
 
 class Counts:
     """Distinct histories with the words after them, distinct words, and their counts.
 
-    ``keys`` rise; ``kids`` (32-bit hashes of words) rise within their history, ``of`` says which that is.
+    ``hist`` rises; ``kids`` (32-bit hashes of words) rise within their history, ``of`` says which that is.
+    Filled in three steps, so that a step's arrays can go before the next: these are what takes a task's memory.
     """
 
-    def __init__(self, keys, of, kids, kid_counts, words, word_counts):
-        self.hist, self.hist_at = _grouped(keys)
-        joint, self.kid_at = _grouped(self.hist_at[of].astype(np.uint64) << np.uint64(32) | kids.astype(np.uint64))
-        self.of, self.kids = (joint >> np.uint64(32)).astype(np.int64), (joint & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.kid_counts = _summed(self.kid_at, kid_counts, len(joint))
-        self.words, self.word_at = _grouped(words)
-        self.word_counts = _summed(self.word_at, word_counts, len(self.words))
+    def histories(self, keys) -> None:
+        self.hist, self.hist_at, _ = _grouped(keys)
+
+    def after(self, kids, counts, of=None) -> None:
+        """``of``: which of the keys each word follows; the one at its own place if not given."""
+        joint = (self.hist_at if of is None else self.hist_at[of]).astype(np.uint64)
+        joint <<= np.uint64(32)
+        joint |= kids
+        joint, self.kid_at, self.kid_counts = _grouped(joint, counts)
+        self.of, self.kids = (joint >> np.uint64(32)).astype(np.uint32), joint.astype(np.uint32)
+        self.begins = _starts(self.of)  # every history has a word after it
+
+    def all_words(self, words, counts) -> None:
+        self.words, self.word_at, self.word_counts = _grouped(words, counts)
 
     def messages(self, src: int, first: int, parts: int, ranges: int):
         """One message for each of ``parts`` hash ranges from ``first`` on, of ``ranges`` that there are in all."""
@@ -100,7 +118,7 @@ class Counts:
         cut = lambda k: np.r_[0, np.searchsorted(k, begins[1:]), len(k)]
         h, w = cut(self.hist), cut(self.words)
         k = np.searchsorted(self.of, h)
-        width = np.bincount(self.of, minlength=len(self.hist)).astype(np.uint32)
+        width = np.diff(np.r_[self.begins, len(self.of)]).astype(np.uint32)
         for p in range(parts):
             hs, ks, ws = (slice(c[p], c[p + 1]) for c in (h, k, w))
             sizes = [int(c[p + 1] - c[p]) for c in (h, k, w)]
@@ -115,14 +133,20 @@ class Counts:
             for r in batch.to_pylist():
                 n, m, w = r["n_hist"], r["n_kids"], r["n_words"]
                 cols[0].append(np.cumsum(_unpacked(r["hist"], n), dtype=np.uint64))
-                cols[1].append(np.repeat(np.arange(at, at + n), _unpacked(r["width"], n, np.uint32)))
+                cols[1].append(np.repeat(np.arange(at, at + n, dtype=np.uint32), _unpacked(r["width"], n, np.uint32)))
                 cols[2].append(_unpacked(r["kids"], m, np.uint32))
                 cols[3].append(_unpacked(r["kid_counts"], m))
                 cols[4].append(np.cumsum(_unpacked(r["words"], w), dtype=np.uint64))
                 cols[5].append(_unpacked(r["word_counts"], w))
                 sizes.append((r["src"], n, m, w))
                 at += n
-        return cls(*map(np.concatenate, cols)), sizes
+        c, next_of = cls(), lambda: np.concatenate(cols.pop(0))
+        c.histories(next_of())
+        of, kids = next_of(), next_of()
+        c.after(kids, next_of(), of)
+        del of, kids
+        c.all_words(next_of(), next_of())
+        return c, sizes
 
 
 ASKED = pa.schema([("owner", pa.int64()), ("src", pa.int64()), *((c, pa.int64()) for c in ("n_hist", "n_kids", "n_words")), *((c, pa.binary()) for c in ("hist", "width", "kids", "kid_counts", "words", "word_counts"))])
@@ -147,11 +171,11 @@ class Totals:
     @classmethod
     def of(cls, c: Counts, least: int) -> Totals:
         """Where the counts are those of the whole corpus."""
-        n, arc = len(c.hist), (c.kid_counts >= least) & (c.kids != _AFTER_KID)
-        real = c.kid_counts[c.kids != _AFTER_KID]
+        word = c.kids != _AFTER_KID
+        arc, real = (c.kid_counts >= least) & word, c.kid_counts[word]
         count = lambda x, k: int((x == k).sum())
         stats = dict(zip(STATS, (int(c.word_counts.sum()), int((c.word_counts > 0).sum()), count(c.word_counts, 1), count(c.word_counts, 2), count(real, 1), count(real, 2)), strict=True))
-        return cls(_summed(c.of, c.kid_counts, n), _summed(c.of, c.kid_counts * arc, n), _summed(c.of, arc, n), c.kid_counts, c.word_counts, stats)
+        return cls(*(_summed(x, c.begins) for x in (c.kid_counts, c.kid_counts * arc, arc)), c.kid_counts, c.word_counts, stats)
 
     @classmethod
     def joined(cls, answers: pa.Table) -> Totals:
@@ -221,20 +245,31 @@ class Tape:
         parts = [np.r_[hasher(t), END, AFTER] for t in values(texts)]
         self.lengths = np.array([len(p) for p in parts], np.int64)
         tok = np.concatenate(parts)
+        del parts, hasher
         self.begins = np.cumsum(self.lengths) - self.lengths
-        weight = np.repeat(np.fromiter(train, np.float64, len(parts)), self.lengths)
-        one, two = np.empty_like(tok), np.empty_like(tok)
-        one[1:], two[2:] = tok[:-1], tok[:-2]
-        one[self.begins], two[self.begins], two[self.begins + 1] = START, START, START
-        self.real = tok != AFTER
-        keys = mix64(two * A + mix64(one) * B)
-        del one, two
-        mixed = mix64(tok)
-        self.counts = Counts(keys, np.arange(len(tok)), (mixed >> np.uint64(32)).astype(np.uint32), weight, mixed[self.real], weight[self.real])
+        weight = np.repeat(np.fromiter(train, np.uint8, len(self.lengths)), self.lengths)
+        self.counts, self.real = Counts(), tok != AFTER
+        self.counts.histories(self._keys(tok))
+        tok = mix64(tok)
+        self.counts.after((tok >> np.uint64(32)).astype(np.uint32), weight)
+        tok, weight = tok[self.real], weight[self.real]
+        self.counts.all_words(tok, weight)
+
+    def _keys(self, tok: np.ndarray) -> np.ndarray:
+        before = np.empty_like(tok)
+        before[1:] = tok[:-1]
+        before[self.begins] = START
+        keys = mix64(before) * B
+        before[2:] = tok[:-2]
+        before[self.begins], before[self.begins + 1] = START, START
+        keys += before * A
+        del before
+        return mix64(keys)
 
 
 def _ask(fan: int):
     def run(docs: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the block before has left
         block = docs.column("block")[0].as_py()
         c = Tape(docs.column("text"), docs.column("train").to_pylist()).counts
         first = block // fan * fan  # owners of a group are numbered after those of the groups before it
@@ -250,50 +285,53 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def traverse(tape: Tape, t: Totals, leave: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weight of each step, words and ends, and the count of its word: the state at a place, its arc or its failure arcs."""
-    s, c, real = t.stats, tape.counts, tape.real
-    # the state that each place is reached in, and the states one word further on
-    state, here = c.hist_at[real], np.flatnonzero(real)
-    pair = t.seen[c.hist_at[here + 1]].astype(float)
-    c1 = t.words[c.word_at].astype(float)
-    ends = np.cumsum(tape.lengths - 1) - 1
-    last = np.empty_like(c1)  # how often the last word was a history
-    last[1:] = c1[:-1]
-    last[np.r_[0, ends[:-1] + 1]] = c1[ends[0]]  # as many texts begin as end
+def traverse(tape: Tape, t: Totals, leave: float, least: int, places: int = 1 << 18):
+    """Weight of each step, words and ends, and the count of its word, for some texts at a time (about ``places`` places).
+
+    Yields the lengths of the texts, without the place after each, the weights and the counts.
+    """
+    s, c = t.stats, tape.counts
     d, tokens = discount(s["once"], s["twice"]), s["tokens"]
-    root = np.where(c1 > 0, c1 - d, d * s["types"]) / tokens if tokens else np.ones(len(c1))
-    fail1 = np.where(last > 0, leave, 1.0)
-    p = (1 - fail1) * pair / np.maximum(last, 1) + fail1 * root
     big_d = discount(s["once3"], s["twice3"])
-    seen = np.maximum(t.seen, 1).astype(float)
-    fail2 = 1 - (t.kept - big_d * t.arcs) / seen
-    c3 = t.kids[c.kid_at[real]].astype(float)
-    arc = np.where(c3 >= least, (c3 - big_d) / seen[state], 0.0)
-    return np.log10(arc + fail2[state] * p), c1
+    cuts = [*_starts(tape.begins // places).tolist(), len(tape.lengths)]
+    begins = np.r_[tape.begins, len(tape.real)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        a, b = begins[i], begins[j]
+        # the state that each place is reached in, and the states one word further on
+        here = a + np.flatnonzero(tape.real[a:b])
+        state = c.hist_at[here]
+        pair = t.seen[c.hist_at[here + 1]].astype(float)
+        lengths = tape.lengths[i:j] - 1
+        c1 = t.words[c.word_at[a - i : b - j]].astype(float)  # each text before has one place that is no word
+        last = np.empty_like(c1)  # how often the last word was a history
+        last[1:] = c1[:-1]
+        last[np.cumsum(lengths) - lengths] = c1[lengths[0] - 1]  # as many texts begin as end
+        root = np.where(c1 > 0, c1 - d, d * s["types"]) / tokens if tokens else np.ones(len(c1))
+        fail1 = np.where(last > 0, leave, 1.0)
+        p = (1 - fail1) * pair / np.maximum(last, 1) + fail1 * root
+        seen = np.maximum(t.seen[state], 1).astype(float)
+        fail2 = 1 - (t.kept[state] - big_d * t.arcs[state]) / seen
+        c3 = t.kids[c.kid_at[here]].astype(float)
+        arc = np.where(c3 >= least, (c3 - big_d) / seen, 0.0)
+        yield lengths, np.log10(arc + fail2 * p), c1
 
 
 def _score(leave: float, least: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         train = docs.column("train").to_pylist()
         tape, t = Tape(docs.column("text"), train), Totals.joined(answers)
-        step, c1 = traverse(tape, t, leave, least)
-        base = np.log10((c1 + 1.0) / (t.stats["tokens"] + t.stats["types"] + 1.0))
-        lengths = tape.lengths - 1
-        begins = np.cumsum(lengths) - lengths
-        add = np.add.reduceat
-        return pa.table(
-            [
-                docs.column("doc_id"),
-                pa.array([not x for x in train]),
-                pa.array(lengths),
-                pa.array(add((c1 > 0).astype(np.int64), begins)),
-                pa.array(np.full(len(lengths), t.stats["tokens"], np.int64)),
-                pa.array(add(base, begins)),
-                pa.array(add(step, begins)),
-            ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        whole = t.stats["tokens"] + t.stats["types"] + 1.0
+        parts = []
+        for lengths, step, c1 in traverse(tape, t, leave, least):
+            begins = np.cumsum(lengths) - lengths
+            add = np.add.reduceat
+            parts.append((lengths, add((c1 > 0).astype(np.int64), begins), add(np.log10((c1 + 1.0) / whole), begins), add(step, begins)))
+        n_tokens, known, base, score = map(np.concatenate, zip(*parts, strict=True))
+        held = pa.array([not x for x in train])
+        total = pa.array(np.full(len(train), t.stats["tokens"], np.int64))
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.table([docs.column("doc_id"), held, pa.array(n_tokens), pa.array(known), total, pa.array(base), pa.array(score)], names=names)
 
     return run
 
@@ -309,7 +347,7 @@ def tree(n: int, fan: int) -> tuple[int, int]:
     return levels, width
 
 
-def score_texts(docs: DataFrame, leave: float = LEAVE, least: int = LEAST, block_bytes: int = 32 << 20, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, leave: float = LEAVE, least: int = LEAST, block_bytes: int = 16 << 20, fan: int = FAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text; learn from those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for
