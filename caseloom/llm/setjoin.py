@@ -429,7 +429,7 @@ def _dealt_once(there: DataFrame, parts: DataFrame) -> DataFrame:
     d = _salted(there, parts, "host", "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     shared = (F.col("k") > 1) & (F.pmod(F.xxhash64("host", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(SHARED << 30))
     every = F.when(shared, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(_part()))
-    return d.withColumn("i", F.explode(every)).withColumns({"j": F.lit(0), "role": F.lit(0), "earlier": F.lit(None).cast("array<long>")}).select(*ROLES)
+    return d.withColumn("i", F.explode(every)).withColumns({"j": F.lit(0), "role": F.lit(0), "earlier": F.lit(None).cast("array<long>")}).select(*ROLES, "k")
 
 
 def _dealt_apart(there: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
@@ -451,7 +451,7 @@ def _dealt_in_pairs(there: DataFrame, parts: DataFrame) -> DataFrame:
     there = there.join(several, "node", "left").withColumn("earlier", F.filter("hosts", lambda h: h < F.col("host"))).drop("hosts")
     d = _salted(there, parts, "host", "node", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("p", _part())
     d = d.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return d.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q"), "role": (F.col("p") > F.col("q")).cast("int")}).select(*ROLES)
+    return d.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q"), "role": (F.col("p") > F.col("q")).cast("int")}).select(*ROLES, "k")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,18 +493,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, count_lin
     there = staged(own.unionByName(guests))
     parts = staged(_parts_of(there, PART_IN_PAIRS if count_links else PART))
 
-    def links_of(dealt: DataFrame, both: bool = False) -> DataFrame:
-        # what is wanted grows with the corpus, so this join is never a broadcast
-        w = dealt.alias("w").hint("merge")
-        texts = w.join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.h") == F.col("s.h"))).select("w.host", "w.i", "w.j", "w.role", "w.node", "w.copies", "w.earlier", "s.text")
-        met = texts.repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role")
+    def links_of(texts: DataFrame, both: bool = False) -> DataFrame:
+        met = texts.select("host", "i", "j", "role", "node", "copies", "earlier", "text").repartition(tasks, "host", "i", "j").sortWithinPartitions("host", "i", "j", "role")
         return staged(met.mapInArrow(_meet(n, percent, both), "a long, b long, n long"))
 
-    links = links_of(_dealt_in_pairs(there, parts) if count_links else _dealt_once(there, parts))
+    dealt = _dealt_in_pairs(there, parts) if count_links else _dealt_once(there, parts)
+    # what is wanted grows with the corpus, so these joins are never broadcasts
+    texts = dealt.alias("w").hint("merge").join(src.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.h") == F.col("s.h"))).select("w.*", "s.text").drop("doc_id", "h")
+    in_parts = not count_links and bool(parts.head(1))
+    if in_parts:
+        texts = staged(texts)  # those of the meetings in parts are read once more, without the rest of the corpus
+    links = links_of(texts)
     edges = links.where("b is not null").select("a", "b")
     roots = connected_components(edges)
-    if not count_links and parts.head(1):
-        apart = links_of(_dealt_apart(there, parts, roots), True)
+    if in_parts:
+        again = texts.where((F.col("k") > 1) & (F.col("i") == _part())).select("host", "node", "text")
+        apart = links_of(_dealt_apart(there, parts, roots).hint("merge").join(again, ["host", "node"]), True)
         if apart.head(1):
             more = apart.where("b is not null").select("a", "b")
             roots = connected_components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
